@@ -31,7 +31,7 @@ from fluxgrid.llm.shared import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows of a source that wait for the landing phase, beside the flight's last two.
-LANDING = 10
+LANDING = 14
 
 
 def word_count(text: str):
@@ -134,11 +134,13 @@ def _fly(state: DataFrame, source: str, level: int, last: bool) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("_h", "ascending"), ("size", "ascending")])
-        size, h, p = t["size"].to_numpy().astype(float), t["_h"].to_numpy(), t["_p"].to_numpy()
+        size, h, p = t["size"].to_numpy().astype(float), t["_h"].to_numpy(), t["_p"].to_numpy().copy()
         x = np.stack([np.ones(len(p)), size / max(1.0, size.mean())], 1)
         u = ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)) >> np.uint64(11)) / float(1 << 53)
-        if last:  # some rows of any size wait for the landing, which needs room to choose
-            wait = np.flatnonzero((p > 0) & (p < 1))[:LANDING]
+        if last:  # the largest rows and some others wait for the landing, which needs room to choose
+            wait = np.flatnonzero((p > 0) & (p < 1))
+            large = wait[np.argsort(-size[wait], kind="stable")[: LANDING // 2]]
+            wait = np.union1d(large, np.setdiff1d(wait, large)[: LANDING - len(large)])
             held, p[wait] = p[wait], 0.0
             p = flight(p, x, u)
             p[wait] = held
