@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgrid.llm.shared import map_arrow, materialise
-from fluxgrid.llm.tokens import encoder, tokenizer_path
+from fluxgrid.llm.tokens import encoder, keyed_texts, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -47,7 +47,7 @@ def pieces(df: DataFrame, key: str, text: str, tokenizer: str, most: int = 1024,
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         enc, end, out = encoder(tokenizer), struct.pack("<I", end_id), []
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for k, t in keyed_texts(batch):
             ids = enc.encode(t) + end
             out += [(k, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids) // 4, most))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECES.types)], schema=_PIECES)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.llm.shared import checkpoint_root, materialise
-from fluxgrid.llm.tokens import encoder, tokenizer_path
+from fluxgrid.llm.tokens import encoder, keyed_texts, tokenizer_path
 
 MAGIC, MAGIC_INDEX = b"FGTOKEN1", b"FGINDEX1"
 _ENTRY = "<qBQQ"
@@ -70,7 +70,7 @@ def write_records(df: DataFrame, key: str, text: str, out: str, tokenizer: str,
         width, end = (2 if enc.vocab <= 1 << 16 else 4), struct.pack("<I", end_id)
         name, at, tokens, sink, index = f"{out}/part-{part:06d}-{uuid.uuid4().hex}", len(MAGIC) + 4, 0, None, []
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, t in keyed_texts(batch):
                 if sink is None:
                     system, path = file_system(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)

@@ -11,12 +11,14 @@ other or repeated blanks are encoded as a whole.
 from __future__ import annotations
 
 import os
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
+import pyarrow as pa
 
 #: Pieces that a worker remembers; bounds its memory, not the result.
-MAX_PIECES = 600_000
+MAX_PIECES = 300_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -51,14 +53,27 @@ class _Known(dict):
         self.model = tokenizer.model
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, letters: str, blank: bool) -> bytes:
+        """Ids of one pre-token: a run of letters, with the blank before it."""
+        if letters.isascii():
+            spelt = "\u0120" + letters if blank else letters
+        else:
+            spelt = (" " * blank + letters).encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def head(self, piece: str) -> bytes:
+        """Ids of the piece that begins a text, with no blank before it."""
+        return self.word(piece, False) if piece.isalpha() else self.whole(piece)
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha():  # one pre-token: straight to the model
-            spelt = (" " + piece).encode().decode("latin-1").translate(self.letters)
-            got = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+            got = self.word(piece, True)
         elif piece[-1:] in (",", ".") and piece[:-1].isalpha():  # a word and one sign are two pre-tokens
-            got = self[piece[:-1]] + self["\n" + piece[-1]][4:]
+            got = (self.get(piece[:-1]) or self.word(piece[:-1], True)) + self["\n" + piece[-1]][4:]
+        elif piece[:1] == "\n" and piece[1:].isalpha():
+            got = self["\n,"][:4] + self.word(piece[1:], False)
         else:
             got = self.whole(piece if piece[:1] == "\n" else " " + piece)
         if len(self) >= MAX_PIECES:
@@ -86,7 +101,7 @@ class Encoder:
             return self.known.whole(text)
         pieces = text.replace("\n", " \n").split(" ")
         known = self.known
-        head = known.whole(pieces[0])
+        head = known.head(pieces[0])
         return head + b"".join([known[p] for p in pieces[1:]])
 
 
@@ -94,3 +109,10 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each worker and vocabulary."""
     return Encoder(path)
+
+
+def keyed_texts(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[int | None, str | None]]:
+    """(key, text) of a batch's rows, as Python objects for `step` rows at a time."""
+    for lo in range(0, batch.num_rows, step):
+        part = batch.slice(lo, step)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
