@@ -15,7 +15,8 @@ one group per source is left, which lands. Sources' targets are found in one
 pass over the per-source totals (one row a source). Only ids and sizes are
 shuffled. All choices follow from hashes of the rows, so reruns agree.
 
-Null sources form a source of their own, last in order. Null or empty texts
+Columns named size, source_size, target or copies are replaced; other columns
+pass through. Null sources form a source of their own, last in order. Null or empty texts
 have size 0 and are never taken. Null and repeated ids are rows like others.
 """
 
@@ -106,25 +107,25 @@ def mix(df: DataFrame, source: str, size, weights: tuple[float, ...] = WEIGHTS,
     per = materialise(source_targets(rows.select(F.col(source).alias("source"), "size"), weights, share, most), "mix-targets")
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block)).cast("long")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    narrow = per.select(F.col("source").alias("_s"), "source_size", "target", groups.alias("_groups"), ratio.alias("_ratio"))
-    state = rows.join(narrow, F.col(source).eqNullSafe(F.col("_s")), "left").drop("_s")
+    narrow = per.select(F.col("source").alias("__mix_s"), "source_size", "target", groups.alias("__mix_groups"), ratio.alias("__mix_ratio"))
+    state = rows.join(narrow, F.col(source).eqNullSafe(F.col("__mix_s")), "left").drop("__mix_s")
     draw = F.xxhash64(*[F.col(c) for c in own], "size")
-    state = state.withColumn("_whole", F.floor(F.col("_ratio") + 1e-12).cast("long")).withColumn("_h", draw)
-    state = state.withColumn("_p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("_ratio") - F.col("_whole"))).otherwise(F.lit(0.0)))
+    state = state.withColumn("__mix_whole", F.floor(F.col("__mix_ratio") + 1e-12).cast("long")).withColumn("__mix_h", draw)
+    state = state.withColumn("__mix_p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("__mix_ratio") - F.col("__mix_whole"))).otherwise(F.lit(0.0)))
     done, level = [], 0
     while True:
-        last = state.agg(F.max("_groups")).first()[0] in (None, 1)
+        last = state.agg(F.max("__mix_groups")).first()[0] in (None, 1)
         state = materialise(_fly(state, source, level, last), f"mix-{level}")
-        decided = F.col("_p").isin(0.0, 1.0)
+        decided = F.col("__mix_p").isin(0.0, 1.0)
         done.append(state if last else state.where(decided))
         if last:
             break
-        state = state.where(~decided).withColumn("_groups", F.ceil(F.col("_groups") * 3 / block).cast("long"))
+        state = state.where(~decided).withColumn("__mix_groups", F.ceil(F.col("__mix_groups") * 3 / block).cast("long"))
         level += 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    copies = F.when(F.col("size") > 0, F.col("_whole") + F.col("_p").cast("long")).otherwise(F.lit(0)).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("__mix_whole") + F.col("__mix_p").cast("long")).otherwise(F.lit(0)).cast("long")
     return out.select(*own, "size", "source_size", "target", copies.alias("copies"))
 
 
@@ -133,8 +134,8 @@ def _fly(state: DataFrame, source: str, level: int, last: bool) -> DataFrame:
     schema = state.schema
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("_h", "ascending"), ("size", "ascending")])
-        size, h, p = t["size"].to_numpy().astype(float), t["_h"].to_numpy(), t["_p"].to_numpy().copy()
+        t = t.sort_by([("__mix_h", "ascending"), ("size", "ascending")])
+        size, h, p = t["size"].to_numpy().astype(float), t["__mix_h"].to_numpy(), t["__mix_p"].to_numpy().copy()
         x = np.stack([np.ones(len(p)), size / max(1.0, size.mean())], 1)
         u = ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)) >> np.uint64(11)) / float(1 << 53)
         if last:  # the largest rows and some others wait for the landing, which needs room to choose
@@ -147,11 +148,11 @@ def _fly(state: DataFrame, source: str, level: int, last: bool) -> DataFrame:
             p = land(p, size)
         else:
             p = flight(p, x, u)
-        at = t.schema.get_field_index("_p")
-        return t.set_column(at, t.schema.field(at), pa.array(p)).drop(["_g"])
+        at = t.schema.get_field_index("__mix_p")
+        return t.set_column(at, t.schema.field(at), pa.array(p)).drop(["__mix_g"])
 
-    grouped = state.withColumn("_g", F.pmod(F.xxhash64("_h", F.lit(level)), F.col("_groups")))
-    return grouped.groupBy(source, "_g").applyInArrow(run, schema)
+    grouped = state.withColumn("__mix_g", F.pmod(F.xxhash64("__mix_h", F.lit(level)), F.col("__mix_groups")))
+    return grouped.groupBy(source, "__mix_g").applyInArrow(run, schema)
 
 
 def op4_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
