@@ -372,3 +372,96 @@ def _(spark, sf):
 @query("roi_add", "SELECT roi_id, y, x FROM r UNION ALL SELECT roi_id + 4, y, x FROM r", "r=roi_pixels")
 def _(spark, sf):
     return roi.add(X.roi_pixels(spark), X.roi_pixels(spark)).selectExpr("CAST(roi_id AS BIGINT) AS roi_id", "CAST(y AS BIGINT) AS y", "CAST(x AS BIGINT) AS x")
+
+
+@query("half_sample_mode", None)
+def _(spark, sf):
+    from fluxgrid.operators import kernels
+
+    return kernels.modes(X.trace_events(spark, sf))
+
+
+@query("transient_tail", None)
+def _(spark, sf):
+    from fluxgrid.operators import kernels
+
+    t = X.trace_events(spark, sf)
+    return traces.tail_metric(t, kernels.modes(t))
+
+
+@query("roi_extract_blocks", "SELECT roi_id AS roi, frame_idx AS i, round(avg(v), 6) + 0.0 AS v FROM p JOIN r USING (y, x) GROUP BY 1, 2", "p=pixels", "r=roi_pixels")
+def _(spark, sf):
+    import numpy as np
+
+    masks = {k: np.zeros((8, 8), bool) for k in range(4)}
+    masks[0][:4, :4] = masks[1][4:, 4:] = masks[2][2:6, 2:6] = masks[3][2:4, 2:4] = True
+    return rounded(movie.extract_blocks(X.frames(spark, sf), masks), "v").withColumn("roi", F.col("roi").cast("long"))
+
+
+@query("scaled_frames", "SELECT frame_idx, y, x, CAST(round_even(greatest(-0.2, least(0.2, v)) / 0.4 * 255 + 127.5, 0) AS INT) AS v FROM p", "p=pixels")
+def _(spark, sf):
+    return movie.scaled(X.pixels(spark, sf), -0.2, 0.2).selectExpr("frame_idx", "CAST(y AS BIGINT) AS y", "CAST(x AS BIGINT) AS x", "v")
+
+
+@query("shift_kernel", ORACLE["shift_frames"])
+def _(spark, sf):
+    from fluxgrid.operators import kernels
+
+    return rounded(movie.pixels(kernels.apply_shifts(X.frames(spark, sf), X.motion(spark, sf))), "v").selectExpr("frame_idx", "CAST(y AS BIGINT) AS y", "CAST(x AS BIGINT) AS x", "v")
+
+
+@query("motion_shifts", None)
+def _(spark, sf):
+    from fluxgrid.operators import kernels
+
+    f = X.frames(spark, sf)
+    return kernels.motion(f, kernels.template(f, 3), 2, 2)
+
+
+@query("pca_components", None)
+def _(spark, sf):
+    from fluxgrid.operators import kernels
+
+    comps, _ = kernels.pca(X.frames(spark, sf), 4)
+    return spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(comps)], "comp int, px array<double>")
+
+
+@query("comps_to_roi", None)
+def _(spark, sf):
+    from fluxgrid.operators import kernels
+
+    comps, _ = kernels.pca(X.frames(spark, sf), 4)
+    images = spark.createDataFrame([(k, 8, 8, c.tolist()) for k, c in enumerate(comps)], "comp int, h int, w int, px array<double>")
+    return kernels.component_regions(images, n_std=1, sigma=0.5, area=(2, -1))
+
+
+@query("deconvolve_ar1", None)
+def _(spark, sf):
+    from fluxgrid.operators import kernels
+
+    return kernels.deconvolve(X.trace_events(spark, sf))
+
+
+@query("magic_wand", None)
+def _(spark, sf):
+    from fluxgrid.operators import kernels
+
+    images = X.frames(spark, sf).select(F.col("frame_idx").alias("image"), "h", "w", "px")
+    seeds = images.select(F.col("image").cast("int").alias("seed"), "image", F.lit(4).alias("cy"), F.lit(4).alias("cx"))
+    return kernels.magic_wand(images, seeds, 1, 4, spread=1)
+
+
+@query("si_find", "SELECT p_partkey, brand, kind FROM (SELECT p_partkey, CASE WHEN contains(lower(p_brand), '#1') THEN p_brand END AS brand, CASE WHEN contains(lower(p_type), '#1') THEN p_type END AS kind FROM part)")
+def _(spark, sf):
+    from fluxgrid.sources import meta
+
+    m = X.table(spark, sf, "part").select("p_partkey", F.create_map(F.lit("brand"), "p_brand", F.lit("kind"), "p_type").alias("m"))
+    found = m.select("p_partkey", meta.find("m", "#1").alias("f"))
+    return found.select("p_partkey", F.try_element_at("f", F.lit("brand")).alias("brand"), F.try_element_at("f", F.lit("kind")).alias("kind"))
+
+
+@query("pixels_per_micron", "SELECT p_partkey, round(512 / (1200 / CAST(p_size AS DOUBLE) * 0.5), 6) + 0.0 AS ppm FROM part")
+def _(spark, sf):
+    from fluxgrid.sources import meta
+
+    return rounded(X.table(spark, sf, "part").select("p_partkey", meta.pixels_per_micron(F.lit(512.0), F.col("p_size").cast("double"), F.lit(0.5)).alias("ppm")), "ppm")
