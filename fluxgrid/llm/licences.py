@@ -96,14 +96,14 @@ def identifiers(text: Column) -> Column:
 
 
 def licences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_sentences, sequence, rule, licence, licences) of every row; rule and licence are null where no rule occurs."""
+    """(key, n_sentences, sequence, rule, licence, licences) of every row; rule is 0 and licence null where no rule occurs."""
     rows = docs.select(key, identifiers(F.coalesce(F.col(text), F.lit(""))).alias("_ids"))
     rows = rows.withColumn("_seq", F.concat(F.lit("|"), F.array_join("_ids", "|"), F.lit("|")))
     hits = F.filter(F.array(*[F.when(F.contains("_seq", F.lit("|" + "|".join(ids) + "|")), F.struct(F.lit(n).alias("n"), F.lit(name).alias("name"))) for n, name, ids in RULES]), lambda h: h.isNotNull())
     rows = rows.withColumn("_hits", hits)
     first = F.try_element_at("_hits", F.lit(1))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["name"]))), ",")
-    return rows.select(key, F.size("_ids").cast("long").alias("n_sentences"), F.array_join("_ids", "|").alias("sequence"), first["n"].cast("long").alias("rule"), first["name"].alias("licence"), names.alias("licences"))
+    return rows.select(key, F.size("_ids").cast("long").alias("n_sentences"), F.array_join("_ids", "|").alias("sequence"), F.coalesce(first["n"].cast("long"), F.lit(0)).alias("rule"), first["name"].alias("licence"), names.alias("licences"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ i AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: element_at({kno
 q AS (SELECT doc_id, ids, '|' || coalesce(array_to_string(ids, '|'), '') || '|' AS seq FROM i),
 h AS (SELECT doc_id, ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS hits FROM q)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, '|'), '') AS sequence,
-  CAST(hits[1].n AS BIGINT) AS rule, hits[1].name AS licence,
+  coalesce(CAST(hits[1].n AS BIGINT), 0) AS rule, hits[1].name AS licence,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.name))), ','), '') AS licences
 FROM h"""
 

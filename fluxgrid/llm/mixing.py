@@ -56,9 +56,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     capped = F.coalesce(F.sum("cap").over(ends.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_w = F.sum("w").over(ends.rowsBetween(0, Window.unboundedFollowing))
     per = per.withColumn("level", (share * total - capped) / open_w)
-    # the level is that of the first source, in order of cap / w, that stays below its cap
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct((F.col("cap") / F.col("w")).alias("o"), F.col("level")))).over(Window.partitionBy())
-    return per.withColumn("at", level).select("source", "source_size", "n_docs", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at.level") * F.col("w"))).alias("target"))
+    # the level is that of the first source, in order of cap / w, that stays below its cap; of equals, the higher one
+    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct((F.col("cap") / F.col("w")).alias("o"), (-F.col("level")).alias("less")))).over(Window.partitionBy())
+    return per.withColumn("at", level).select("source", "source_size", "n_docs", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", -F.col("at.less") * F.col("w"))).alias("target"))
 
 
 def flight(p: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
