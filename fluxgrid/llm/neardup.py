@@ -10,7 +10,7 @@ Nodes and points under the bound are cut, surviving pairs are verified on the se
 Random texts of one size have much the same counts, so one tree over a corpus
 would cut little. Trees are therefore built within shards that an exact filter
 makes: of the shingles in hash order, linking sets of n shingles share at
-least 1 + ceil(3n/4) // 32 among their first n // 4 + 1 + n // 32. Only sets with
+least 1 + ceil(3n/4) // 8 among their first n // 4 + 1 + n // 8. Only sets with
 so many shared prefix shingles take part (few do); the steps are
 
 1. `sign`: size and a 64-bit digest of each set; equal digests are one class.
@@ -19,10 +19,11 @@ so many shared prefix shingles take part (few do); the steps are
 3. `merge`: classes sharded by their first shared shingle, large shards split
    by two different random cuts, link inside each part; this joins large groups
    of near copies without pairing all of them.
-4. `complete`: classes of different components that share prefix shingles meet,
-   component by component in bounded parts, so that no link is lost. A shingle
-   of more than ``COMMON`` components counts only for classes that reach their
-   number of shared shingles by such ones; the others need at least one rarer one.
+4. `complete`: classes of different components that share enough prefix shingles
+   are compared, so that no link is lost. Shingles of at most ``COMMON`` classes give
+   pairs, counted and bounded by their points. For a commoner shingle, the
+   classes that could reach their number by such shingles alone meet in an R-tree
+   (in blocks), which hands on only pairs under the bound; the others share rarer ones.
 5. `components` over the verified links (never all pairs of a group).
 
 Null ids are rows like others; a component's id is its smallest id that is
@@ -45,21 +46,23 @@ from fluxgrid.llm.textops import mix, shingle_sets
 
 SHINGLE = 5
 #: Groups that shingles are hashed into: the dimensions of the points.
-GROUPS = 64
+GROUPS = 128
 #: Classes in a part of a shard, about.
 PART = 128
-#: Components that a shingle may join before it counts as common.
+#: Classes that a shingle may have before it counts as common.
 COMMON = 64
+#: Classes in a block of a common shingle's tree, about.
+BLOCK = 2048
 U = np.uint64
 
 
 def prefix_length(n):
-    return n // 4 + 1 + n // 32
+    return n // 4 + 1 + n // 8
 
 
 def least_shared(n: str) -> Column:
     """Prefix shingles that a set of n shingles shares with any set it links with, at least."""
-    return F.expr(f"1 + ((3 * {n} + 3) div 4) div 32")
+    return F.expr(f"1 + ((3 * {n} + 3) div 4) div 8")
 
 
 def digests(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -171,6 +174,11 @@ def _named(token: np.ndarray, buckets: int) -> np.ndarray:
     return (token & U((1 << 48) - 1)) | ((((token >> U(48)) * U(buckets)) >> U(16)) << U(48))
 
 
+def point(s: np.ndarray) -> np.ndarray:
+    """Group counts of a set of shingle hashes."""
+    return np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+
+
 class Tree:
     """R-tree over count vectors, packed bottom-up; nodes keep their upper corner and their range of set sizes."""
 
@@ -202,7 +210,7 @@ class Tree:
 def links(keys: np.ndarray, sets: list[np.ndarray], groups: np.ndarray) -> list[tuple[int, int]]:
     """Verified links that connect all that is connected, among classes whose `groups` differ (equal ones count as connected)."""
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
+    points = np.stack([point(s) for s in sets])
     tree, label, out = Tree(points, sizes), np.unique(groups, return_inverse=True)[1], []
     for i in range(len(keys)):
         at, bound = tree.query(points[i], sizes[i])
@@ -234,33 +242,88 @@ def merge(part: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "cell").applyInArrow(_link_part, "a long, b long")
 
 
+def candidates(part: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes of different components (column root) that share so many prefix shingles that they may link and
+    whose count vectors (column point) allow it."""
+    hit = part.select("class", "n", "root", F.explode("tokens").alias("token"))
+    for _ in range(2):  # what is left of a class's shared shingles shrinks as others drop out
+        several = hit.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        hit = hit.join(several, "token")
+        able = hit.groupBy("class").agg(F.count("*").alias("c"), F.max("n").alias("m")).where(F.col("c") >= least_shared("m")).select("class")
+        hit = materialise(hit.join(able, "class"), "shared")
+    spread = hit.groupBy("token").agg((F.count("*") > COMMON).alias("common"))
+    hit = materialise(hit.join(spread, "token"), "spread")
+    commons = hit.groupBy("class").agg(F.sum(F.col("common").cast("long")).alias("commons"), F.max("n").alias("n"))
+    # rare shingles: classes share at least what common ones do not make up for
+    side = hit.where("not common").join(commons.select("class", (least_shared("n") - F.col("commons")).alias("least")), "class")
+    side = side.select("token", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("least").alias("la"))
+    other = side.select("token", *(F.col(c + x).alias(c + y) for c, x, y in (("", "a", "b"), ("r", "a", "b"), ("n", "a", "b"), ("l", "a", "b"))))
+    near = side.join(other, "token").where("a < b and ra <> rb and 4 * na >= 3 * nb and 4 * nb >= 3 * na")
+    rare = near.groupBy("a", "b").agg(F.count("*").alias("c"), F.max(F.greatest("la", "lb")).alias("least")).where("c >= least").select("a", "b")
+    point = part.select("class", "point", "n")
+    rare = rare.join(point.select(F.col("class").alias("a"), F.col("point").alias("pa"), F.col("n").alias("na")), "a")
+    rare = rare.join(point.select(F.col("class").alias("b"), F.col("point").alias("pb"), F.col("n").alias("nb")), "b")
+    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    rare = rare.where(7 * bound >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
+    # common shingles: only classes that reach their number by common ones; an R-tree for each shingle, in blocks
+    warm = commons.where(F.col("commons") >= least_shared("n")).select("class")
+    rows = hit.where("common").join(warm, "class").select("token", "class", "root", "n")
+    cuts = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+    rows = rows.join(cuts, "token").withColumn("cut", F.pmod(F.xxhash64("class"), F.col("cuts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)
+    cell = F.transform(every, lambda k: F.struct(F.least(k, F.col("cut")).alias("i"), F.greatest(k, F.col("cut")).alias("j")))
+    rows = rows.withColumn("cell", F.explode(cell)).select("token", "cell.i", "cell.j", "cut", "class", "root", "n").join(point.select("class", "point"), "class")
+    common = rows.groupBy("token", "i", "j").applyInArrow(_near_points, "a long, b long")
+    return rare.unionByName(common).distinct()
+
+
+def _near_points(t: pa.Table) -> pa.Table:
+    """Pairs of different components whose points allow a link: blocks i and j of a shingle's classes (within one block if i = j)."""
+    cls, root, n, cut = (t[c].to_numpy() for c in ("class", "root", "n", "cut"))
+    points = np.stack(t["point"].to_pylist()).astype(np.int64)
+    here = np.flatnonzero(cut == t["i"][0].as_py())
+    there = here if t["i"][0].as_py() == t["j"][0].as_py() else np.flatnonzero(cut == t["j"][0].as_py())
+    out_a, out_b = [], []
+    if len(here) and len(there):
+        tree = Tree(points[there], n[there])
+        for i in here:
+            at = there[tree.query(points[i], n[i])[0]]
+            at = at[(root[at] != root[i]) & ((cls[at] < cls[i]) | (there is not here))]
+            out_a.append(np.minimum(cls[at], cls[i]))
+            out_b.append(np.maximum(cls[at], cls[i]))
+    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+    return pa.table([join(out_a), join(out_b)], names=["a", "b"])
+
+
 def complete(part: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(a, b): links between the components (column root) of part, or None where no two can meet."""
-    tok = part.select("class", "n", "root", F.explode("tokens").alias("token"))
-    several = tok.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    hit = tok.join(several, "token")
-    able = hit.groupBy("class").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= least_shared("n")).select("class")
-    hit = materialise(hit.join(able, "class"), "shared")
-    spread = hit.select("token", "root").distinct().groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1")
-    hit = hit.join(spread, "token").withColumn("common", F.col("roots") > COMMON)
-    lead = hit.groupBy("class").agg(F.sum(F.col("common").cast("long")).alias("commons"), F.max("n").alias("m")).where(F.col("commons") >= least_shared("m")).select("class", F.lit(True).alias("by_common"))
-    hit = hit.join(lead, "class", "left").where("not common or by_common")
-    side = materialise(hit.select("token", "root").distinct(), "sides")
-    pair = side.join(side.select("token", F.col("root").alias("other")), "token").where("root < other").select("root", "other").distinct()
-    pair = materialise(pair, "pairs")
+    """(a, b): verified links between the components (column root) of part, or None where no two can meet."""
+    pair = materialise(candidates(part), "pairs")
     if pair.isEmpty():
         return None
-    member = part.join(able, "class").select("class", "root")
-    many = member.groupBy("root").agg(F.count("*").alias("k"))
-    pair = pair.join(many, "root").join(many.select(F.col("root").alias("other"), F.col("k").alias("k2")), "other")
-    first = (F.col("k") > F.col("k2")) | ((F.col("k") == F.col("k2")) & (F.col("root") < F.col("other")))
-    pair = pair.select(F.when(first, F.col("root")).otherwise(F.col("other")).alias("hub"), F.when(first, F.col("other")).otherwise(F.col("root")).alias("guest"), F.greatest("k", "k2").alias("hub_k"), F.least("k", "k2").alias("guest_k"))
-    hubs = pair.groupBy("hub").agg(F.ceil(F.max("hub_k") / PART).alias("rows"), F.ceil(F.sum("guest_k") / PART).alias("cols"))
-    hosts = member.join(hubs, F.col("root") == F.col("hub")).select("class", "root", "hub", F.pmod(F.xxhash64("class"), F.col("rows")).alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("col"))
-    guests = member.join(pair.select("hub", F.col("guest").alias("root")), "root").join(hubs, "hub")
-    guests = guests.select("class", "root", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"), F.pmod(F.xxhash64("class"), F.col("cols")).alias("col"))
-    rows = hosts.unionByName(guests).join(sets, "class").withColumnRenamed("root", "group")
-    return rows.groupBy("hub", "row", "col").applyInArrow(_link_part, "a long, b long")
+    ends = pair.select(F.col("a").alias("class")).unionByName(pair.select(F.col("b").alias("class"))).groupBy("class").count()
+    pair = pair.join(ends.select(F.col("class").alias("a"), F.col("count").alias("ka")), "a").join(ends.select(F.col("class").alias("b"), F.col("count").alias("kb")), "b")
+    hub = F.when(F.col("ka") >= F.col("kb"), F.col("a")).otherwise(F.col("b"))
+    pair = pair.select(hub.alias("hub"), F.when(F.col("ka") >= F.col("kb"), F.col("b")).otherwise(F.col("a")).alias("class"))
+    cuts = pair.groupBy("hub").agg(F.ceil(F.count("*") / PART).alias("cuts"))
+    guests = pair.join(cuts, "hub").select("hub", F.pmod(F.xxhash64("class"), F.col("cuts")).alias("cut"), "class")
+    hosts = cuts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), F.col("hub").alias("class"))
+    rows = guests.unionByName(hosts).join(part.select("class", F.col("root").alias("group")), "class").join(sets, "class")
+    return rows.groupBy("hub", "cut").applyInArrow(_link_hub, "a long, b long")
+
+
+def _link_hub(t: pa.Table) -> pa.Table:
+    """Links of a hub with its guests, one for each component of guests."""
+    cls, group, raw = t["class"].to_numpy(), t["group"].to_numpy(), t["set"].to_pylist()
+    hub, out, linked = t["hub"][0].as_py(), [], set()
+    mine = _unpacked(raw[int(np.flatnonzero(cls == hub)[0])])
+    for c, g, data in zip(cls.tolist(), group.tolist(), raw):
+        if c != hub and g not in linked:
+            other = _unpacked(data)
+            overlap = len(mine) + len(other) - len(np.union1d(mine, other))
+            if 7 * overlap >= 3 * (len(mine) + len(other)):
+                out.append((hub, c))
+                linked.add(g)
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -270,7 +333,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = materialise(classes, "classes")
     shared = shared_prefixes(docs, text, size).groupBy("class").agg(F.collect_set("token").alias("tokens"))
     part = materialise(shared.join(classes, "class").where(F.size("tokens") >= least_shared("n")), "part")
-    schema = pa.schema([("class", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("class", pa.int64()), ("set", pa.binary()), ("point", pa.list_(pa.int32()))])
 
     def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, texts in text_chunks(batch.column(1)):
@@ -279,15 +342,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             ok = np.flatnonzero(digests(g, bounds) == want)
             raw = _packed(g)
             cells = [raw[bounds[i] : bounds[i + 1]].tobytes() for i in ok]
-            yield pa.RecordBatch.from_arrays([pa.array(want[ok]), pa.array(cells, pa.binary())], schema=schema)
+            points = [point(g[bounds[i] : bounds[i + 1]]) for i in ok]
+            yield pa.RecordBatch.from_arrays([pa.array(want[ok]), pa.array(cells, pa.binary()), pa.array(points, schema.types[2])], schema=schema)
 
     named = part.select(F.col("class"), F.col("cid"))
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     chosen = texts.join(named, F.col("_id").eqNullSafe(F.col("cid"))).select("class", "_text")
-    sets = materialise(map_arrow(chosen, build, "class long, set binary"), "sets")
+    built = materialise(map_arrow(chosen, build, "class long, set binary, point array<int>"), "sets")
+    sets = built.select("class", "set")
     edges = materialise(merge(part, sets), "links")
     root = components(edges, "a", "b").withColumnRenamed("node", "class")
-    rooted = materialise(part.join(root, "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
+    rooted = part.join(root, "class", "left").withColumn("root", F.coalesce("root", "class")).join(built.select("class", "point"), "class")
+    rooted = materialise(rooted.dropDuplicates(["class"]), "rooted")
     more = complete(rooted, sets)
     if more is not None:
         more = materialise(more, "links")
