@@ -181,8 +181,14 @@ def _(spark, sf):
     return rounded(traces.autocovariance(X.trace_events(spark, sf), 10), "acov", digits=4)
 
 
-for _name, _spark, _sql in (("mean", F.avg("v"), "avg(v)"), ("max", F.max("v"), "max(v)"), ("min", F.min("v"), "min(v)"), ("std", F.stddev_samp("v"), "stddev_samp(v)"), ("median", F.percentile("v", F.lit(0.5)), "quantile_cont(v, 0.5)")):
-    QUERIES[f"project_{_name}"] = lambda spark, sf, a=_spark: rounded(movie.project(X.pixels(spark, sf), ["y", "x"], a), "v").selectExpr("CAST(y AS BIGINT) AS y", "CAST(x AS BIGINT) AS x", "v")
+for _name, _agg, _sql in (
+    ("mean", lambda: F.avg("v"), "avg(v)"),
+    ("max", lambda: F.max("v"), "max(v)"),
+    ("min", lambda: F.min("v"), "min(v)"),
+    ("std", lambda: F.stddev_samp("v"), "stddev_samp(v)"),
+    ("median", lambda: F.percentile("v", F.lit(0.5)), "quantile_cont(v, 0.5)"),
+):
+    QUERIES[f"project_{_name}"] = lambda spark, sf, a=_agg: rounded(movie.project(X.pixels(spark, sf), ["y", "x"], a()), "v").selectExpr("CAST(y AS BIGINT) AS y", "CAST(x AS BIGINT) AS x", "v")
     ORACLE[f"project_{_name}"] = f"WITH p AS ({X.SQL['pixels']}) SELECT y, x, round({_sql}, 6) + 0.0 AS v FROM p GROUP BY y, x"
 
 
