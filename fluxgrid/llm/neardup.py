@@ -23,7 +23,8 @@ so many shared prefix shingles take part (few do); the steps are
    are compared, so that no link is lost. Shingles of at most ``COMMON`` classes give
    pairs, counted and bounded by their points. For a commoner shingle, the
    classes that could reach their number by such shingles alone meet in an R-tree
-   (in blocks), which hands on only pairs under the bound; the others share rarer ones.
+   (in blocks) for the rarest few of them, which hands on only pairs that the bound
+   allows, each once; the others share rarer ones.
 5. `components` over the verified links (never all pairs of a group).
 
 Null ids are rows like others; a component's id is its smallest id that is
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.llm.shared import components, map_arrow, materialise, text_chunks
@@ -52,7 +53,7 @@ PART = 128
 #: Classes that a shingle may have before it counts as common.
 COMMON = 64
 #: Classes in a block of a common shingle's tree, about.
-BLOCK = 2048
+BLOCK = 4096
 U = np.uint64
 
 
@@ -251,7 +252,7 @@ def candidates(part: DataFrame) -> DataFrame:
         hit = hit.join(several, "token")
         able = hit.groupBy("class").agg(F.count("*").alias("c"), F.max("n").alias("m")).where(F.col("c") >= least_shared("m")).select("class")
         hit = materialise(hit.join(able, "class"), "shared")
-    spread = hit.groupBy("token").agg((F.count("*") > COMMON).alias("common"))
+    spread = hit.groupBy("token").agg(F.count("*").alias("k")).withColumn("common", F.col("k") > COMMON)
     hit = materialise(hit.join(spread, "token"), "spread")
     commons = hit.groupBy("class").agg(F.sum(F.col("common").cast("long")).alias("commons"), F.max("n").alias("n"))
     # rare shingles: classes share at least what common ones do not make up for
@@ -265,22 +266,30 @@ def candidates(part: DataFrame) -> DataFrame:
     rare = rare.join(point.select(F.col("class").alias("b"), F.col("point").alias("pb"), F.col("n").alias("nb")), "b")
     bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     rare = rare.where(7 * bound >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
-    # common shingles: only classes that reach their number by common ones; an R-tree for each shingle, in blocks
-    warm = commons.where(F.col("commons") >= least_shared("n")).select("class")
-    rows = hit.where("common").join(warm, "class").select("token", "class", "root", "n")
+    # common shingles: classes that reach their number by common ones alone. Such a pair shares that number of them, hence one
+    # among the first commons - number + 1 of each, rarest first; an R-tree for each shingle, in blocks
+    warm = commons.where(F.col("commons") >= least_shared("n")).select("class", (F.col("commons") - least_shared("n") + 1).alias("lead"))
+    order = Window.partitionBy("class").orderBy("k", "token")
+    rows = hit.where("common").join(warm, "class").withColumn("rank", F.row_number().over(order)).where("rank <= lead")
+    before = F.collect_list("token").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select("token", "class", "root", "n", before.alias("before"))
     cuts = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
     rows = rows.join(cuts, "token").withColumn("cut", F.pmod(F.xxhash64("class"), F.col("cuts")))
     every = F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)
     cell = F.transform(every, lambda k: F.struct(F.least(k, F.col("cut")).alias("i"), F.greatest(k, F.col("cut")).alias("j")))
-    rows = rows.withColumn("cell", F.explode(cell)).select("token", "cell.i", "cell.j", "cut", "class", "root", "n").join(point.select("class", "point"), "class")
+    rows = rows.withColumn("cell", F.explode(cell)).select("token", "cell.i", "cell.j", "cut", "class", "root", "n", "before").join(point.select("class", "point"), "class")
     common = rows.groupBy("token", "i", "j").applyInArrow(_near_points, "a long, b long")
     return rare.unionByName(common).distinct()
 
 
 def _near_points(t: pa.Table) -> pa.Table:
-    """Pairs of different components whose points allow a link: blocks i and j of a shingle's classes (within one block if i = j)."""
+    """Pairs of different components whose points allow a link: blocks i and j of a shingle's classes (within one block if i = j).
+
+    A pair that also meets at a shingle before this one is left to that one.
+    """
     cls, root, n, cut = (t[c].to_numpy() for c in ("class", "root", "n", "cut"))
     points = np.stack(t["point"].to_pylist()).astype(np.int64)
+    before = [frozenset(x) for x in t["before"].to_pylist()]
     here = np.flatnonzero(cut == t["i"][0].as_py())
     there = here if t["i"][0].as_py() == t["j"][0].as_py() else np.flatnonzero(cut == t["j"][0].as_py())
     out_a, out_b = [], []
@@ -289,6 +298,7 @@ def _near_points(t: pa.Table) -> pa.Table:
         for i in here:
             at = there[tree.query(points[i], n[i])[0]]
             at = at[(root[at] != root[i]) & ((cls[at] < cls[i]) | (there is not here))]
+            at = at[[before[i].isdisjoint(before[j]) for j in at]] if len(at) else at
             out_a.append(np.minimum(cls[at], cls[i]))
             out_b.append(np.maximum(cls[at], cls[i]))
     join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
