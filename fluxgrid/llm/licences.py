@@ -1,10 +1,13 @@
 """Operator 2: licence scans by sentence rules, in DataFrame functions only.
 
-A text's sentences are normalised (ASCII letters lower-cased, everything but
-letters and digits one blank) and looked up among known licence sentences; the
-identifiers found, in order, are matched against the rules, of which the first
-that occurs as a run of consecutive identifiers names the licence. All rules
-that occur are listed too.
+A text is normalised (ASCII letters lower-cased, everything but letters and
+digits one blank, a line break or the end of a sentence), and the longest known
+licence sentences are looked up in it. A sentence begins and ends at a sign
+before a blank, an empty line or a line break, but may also run on over line
+breaks: wrapped texts, with signs of comments before their lines or without,
+have the sentences of unwrapped ones. The identifiers found, in order, are
+matched against the rules, of which the first that occurs as a run of
+consecutive identifiers names the licence. All rules that occur are listed too.
 
 One narrow pass without shuffle; a text without any clue word skips the
 sentences. Null and empty texts have no sentences. Null or repeated ids are
@@ -79,20 +82,50 @@ RULES = (
 )
 CLUES = ("icens", "opyright", "ermission", "oftware", "edistribution", "public domain", "ersion")
 # end of fixed values
+#: Whole sentences of the licences' texts, whose beginnings or parts are above, and their identifiers.
+WHOLE = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": ("mit_grant",),
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": ("mit_warranty",),
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": ("apache2_law",),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": ("gpl_free", "gpl3_later"),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": ("gpl_free", "gpl2_later"),
+}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What ends a sentence: a line break, or a sign before a blank.
+#: What ends a sentence in the SQL: a line break, or a sign before a blank.
 SPLIT = r"[.!?;,:]?[ \t\r]*\n|[.!?;][ \t\r]+"
 
 
+def marked(low: Column) -> Column:
+    """Words of a lower-cased text with one sign between two: a blank, a line feed where a sentence may end, a form feed where it must."""
+    passes = (
+        (r"[^a-z0-9.!?;\n]+", " "),
+        (r"(?<![a-z0-9])v\.[ \n](?=[0-9])", "v "),  # "v. 2.0"
+        (r"[.!?](?=[ \n])", "\f"),
+        (r";(?=[ \n])", "\n "),
+        (r"[.!?;]", " "),
+        (r" +", " "),
+        (r"\n[ \n]*\n", "\f"),  # an empty line, or one of signs only
+        (r"[ \n]*\f[ \n\f]*", "\f"),
+        (r" ?\n ?", "\n"),
+    )
+    out = F.concat(F.lit("\n"), low, F.lit("\n"))
+    for pattern, by in passes:
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    sentences = {k: (v,) for k, v in SENTENCES.items()} | WHOLE
+    known = F.create_map(*[x for k, v in sentences.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     clue = F.lit(False)
     for word in CLUES:
         clue = clue | F.contains(text, F.lit(word))
-    plain = lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))
-    found = F.transform(F.split(text, SPLIT, -1), lambda s: F.try_element_at(known, plain(s)))
-    return F.when(clue, F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    longest = "|".join(k.replace(" ", "[ \n]") for k in sorted(sentences, key=lambda k: (-len(k), k)))
+    pattern = F.lit(rf"(?<=[\n\f])(?:{longest})(?=[\n\f])")
+    found = F.regexp_extract_all(marked(F.translate(text, UPPER, LOWER)), pattern, F.lit(0))
+    ids = F.flatten(F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " "))))
+    return F.when(clue, ids).otherwise(F.array().cast("array<string>"))
 
 
 def licences(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -131,6 +131,74 @@ def test_licence_rules(spark):
     assert licences.licences(odd(spark), "doc_id", "text").count() == 8 and licences.licences(empty(spark), "doc_id", "text").count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE2 = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_licence_texts_wrapped(spark):
+    want = [(MIT, 1, "MIT", 3), (BSD3, 6, "BSD-3-Clause", 2), (APACHE2, 3, "Apache-2.0", 4), (GPL3, 4, "GPL-3.0-or-later", 2), (GPL2, 5, "GPL-2.0-or-later", 2), (MPL2, 11, "MPL-2.0", 1)]
+    forms = [str, lambda t: "Copyright 2020 A\n\n" + t, lambda t: t.replace("\n", "\r\n"), lambda t: "\n".join("// " + x for x in t.split("\n")), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */ int x;", lambda t: re.sub(r"(?<!\n)\n(?!\n) *", " ", t)]
+    df = spark.createDataFrame([(100 * i + j, f(w[0])) for i, w in enumerate(want) for j, f in enumerate(forms)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["rule"], r["licence"], r["n_sentences"]) for r in licences.licences(df, "doc_id", "text").collect()}
+    assert got == {100 * i + j: w[1:] for i, w in enumerate(want) for j in range(len(forms))}
+
+
+def test_licence_sentences_end(spark):
+    texts = ["a line without a sign\nReleased under the MIT License\nnext line", "Licensed under the MIT\n\nLicense", "not licensed under the MIT License today", "licence:\n" + "\n" * 50_000 + "Licensed under the\nISC license" + "." * 50_000 + " ;" * 50_000, "Licensed under the ISC. License"]
+    got = {r["doc_id"]: r["sequence"] for r in licences.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {0: "mit_name", 1: "", 2: "", 3: "isc_name", 4: ""}
+
+
 # --- 3 and tokens
 
 
