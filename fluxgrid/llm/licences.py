@@ -9,8 +9,8 @@ have the sentences of unwrapped ones. The identifiers found, in order, are
 matched against the rules, of which the first that occurs as a run of
 consecutive identifiers names the licence. All rules that occur are listed too.
 
-One narrow pass without shuffle; a text without any clue word skips the
-sentences. Null and empty texts have no sentences. Null or repeated ids are
+One narrow pass without shuffle; a text without any clue word, of which every
+sentence has one, skips the sentences. Null and empty texts have no sentences. Null or repeated ids are
 rows like others; other columns are not read.
 """
 
@@ -118,12 +118,13 @@ def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     sentences = {k: (v,) for k, v in SENTENCES.items()} | WHOLE
     known = F.create_map(*[x for k, v in sentences.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    low = F.translate(text, UPPER, LOWER)
     clue = F.lit(False)
     for word in CLUES:
-        clue = clue | F.contains(text, F.lit(word))
+        clue = clue | F.contains(low, F.lit(word))
     longest = "|".join(k.replace(" ", "[ \n]") for k in sorted(sentences, key=lambda k: (-len(k), k)))
     pattern = F.lit(rf"(?<=[\n\f])(?:{longest})(?=[\n\f])")
-    found = F.regexp_extract_all(marked(F.translate(text, UPPER, LOWER)), pattern, F.lit(0))
+    found = F.regexp_extract_all(marked(low), pattern, F.lit(0))
     ids = F.flatten(F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " "))))
     return F.when(clue, ids).otherwise(F.array().cast("array<string>"))
 

@@ -193,6 +193,13 @@ def test_licence_texts_wrapped(spark):
     assert got == {100 * i + j: w[1:] for i, w in enumerate(want) for j in range(len(forms))}
 
 
+def test_licence_clues_lose_nothing(spark):
+    known = list(licences.SENTENCES | licences.WHOLE)
+    df = spark.createDataFrame([(2 * i + j, s) for i, k in enumerate(known) for j, s in enumerate((k, k.upper()))] + [(-1, "THIS PROJECT IS LICENSED UNDER THE MIT LICENSE.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_sentences"] for r in licences.licences(df, "doc_id", "text").collect()}
+    assert got == {2 * i + j: 2 if len(licences.WHOLE.get(k, ())) == 2 else 1 for i, k in enumerate(known) for j in (0, 1)} | {-1: 1}
+
+
 def test_licence_sentences_end(spark):
     texts = ["a line without a sign\nReleased under the MIT License\nnext line", "Licensed under the MIT\n\nLicense", "not licensed under the MIT License today", "licence:\n" + "\n" * 50_000 + "Licensed under the\nISC license" + "." * 50_000 + " ;" * 50_000, "Licensed under the ISC. License"]
     got = {r["doc_id"]: r["sequence"] for r in licences.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()}
