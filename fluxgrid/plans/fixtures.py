@@ -61,8 +61,8 @@ def motion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events_i2c(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id < 500")
-    return e.select("event_id", F.col("value").alias("si_timestamp"), (F.floor(F.col("event_id") / 10) + (F.col("event_id") % 10) / 10).alias("data"), (F.col("event_id") % 100).alias("frame_idx"), F.floor(F.col("event_id") / 100).cast("int").alias("file_idx"))
+    e = table(spark, sf, "events").crossJoin(files(spark, sf).agg(F.count("*").alias("n_files")))  # one row: every event falls into a file
+    return e.select("event_id", F.col("value").alias("si_timestamp"), (F.floor(F.col("event_id") / 10) + (F.col("event_id") % 10) / 10).alias("data"), (F.col("event_id") % 100).alias("frame_idx"), (F.floor(F.col("event_id") / 100) % F.col("n_files")).cast("int").alias("file_idx"))
 
 
 SQL = {

@@ -35,6 +35,18 @@ def test_query(spark, db, name):
     assert rows(got, cols) == rows(want, cols)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_i2c_enrich_has_all_events(spark, sf):
+    at = SF.replace("sf0.001", sf)
+    got = catalogue.QUERIES["i2c_enrich"](spark, at).toPandas()
+    cols = ["event_id", "abs_frame_idx", "trial", "phase"]
+    files = "(SELECT max(vec_id) // 100 + 1 FROM e)"
+    e, v = (f"read_parquet('{at}/{t}.parquet')" for t in ("embeddings", "events"))
+    want = duckdb.sql(f"WITH e AS (SELECT vec_id FROM {e}) SELECT event_id, event_id // 100 % {files} * 100 + event_id % 100 AS abs_frame_idx, event_id // 10 AS trial, event_id % 10 AS phase FROM {v}").df()
+    assert len(got) == len(want) > 500
+    assert rows(got, cols) == rows(want, cols)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1000
     assert set(entry.oracle_sql()) <= set(entry.queries())
