@@ -10,8 +10,9 @@ highest score decides, ties by name.
 Learned from a bounded hash sample of labelled rows, about ``PER_LANGUAGE`` a
 language: an n-gram (``GRAM`` bytes within lower-cased letters and blanks)
 belongs to a language if its relative frequency there is at least ``SHARE`` of
-its highest one. The table has a fixed number of rows, so its size does not
-grow with the corpus. Prediction is one pass over whole texts, no shuffle.
+its highest one, however rare it is and however many there are: Spark chooses
+the n-grams and gathers the rows they set, so no language can push out another.
+The table has a fixed number of rows, so its size does not grow with the corpus. Prediction is one pass over whole texts, no shuffle.
 
 Null texts and texts without a letter get `und` and score 0. Without any
 labelled row every text gets `und`. Null or repeated ids are rows like others.
@@ -25,10 +26,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxgrid.llm.shared import map_arrow, text_chunks
+from fluxgrid.llm.shared import map_arrow, materialise, text_chunks
 from fluxgrid.llm.textops import mix
 
 #: Labelled rows a language that the filters are learned from, about.
@@ -37,8 +38,6 @@ GRAM = 5
 SHARE = 0.5
 #: Rows of the bit-sliced table, and rows that an n-gram sets.
 BITS, HASHES = 1 << 21, 3
-#: n-grams of the sample that are kept, the commonest.
-MAX_GRAMS = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.full(256, 0x20, np.uint8)
 _CLASS[0x80:] = np.arange(0x80, 0x100)
@@ -81,9 +80,17 @@ class Filters:
         for k, (g, _) in enumerate(found):
             for at in slots(g, bits):
                 np.bitwise_or.at(self.table[:, k // 64], at, np.uint64(1 << (k % 64)))
-        fill = [float(((self.table[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(languages))]
+        self._measure()
+
+    def _measure(self) -> None:
+        fill = [float(((self.table[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(self.languages))]
         self.false = np.array(fill) ** HASHES
 
+    def add(self, cell: np.ndarray, mask: np.ndarray) -> None:
+        """Sets bits: cell is the row of the table times its words a row, plus the word."""
+        self.table.reshape(-1)[cell] |= mask
+        self._measure()
+
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected number of n-grams of each language in each text, and the number of all n-grams."""
         g, doc = grams(texts)
@@ -91,7 +98,7 @@ class Filters:
         total = np.bincount(doc, minlength=len(texts))
         hits = [np.bincount(doc, (masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1), len(texts)) for k in range(len(self.languages))]
         raw = np.stack(hits, 1) if hits else np.zeros((len(texts), 0))
-        return np.maximum((raw - total[:, None] * self.false) / (1 - self.false), 0), total
+        return np.maximum((raw - total[:, None] * self.false) / np.maximum(1 - self.false, 1e-9), 0), total
 
 
 def learn(rows: DataFrame, lang: str, text: str, draw: Column, per_language: int = PER_LANGUAGE, bits: int = BITS) -> Filters:
@@ -113,14 +120,30 @@ def learn(rows: DataFrame, lang: str, text: str, draw: Column, per_language: int
                 u, n = np.unique(g[(of == name)[doc]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(n)], schema=schema)
 
-    counted = map_arrow(part, count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).where("n >= 2")
-    got = counted.orderBy(F.desc("n"), "g", "lang").limit(MAX_GRAMS).toPandas()
-    names = sorted(per)
-    if not len(got):
-        return Filters(names, [(np.zeros(0, np.uint64), np.zeros(0))] * len(names), bits)
-    got["f"] = got["n"] / got.groupby("lang")["n"].transform("sum")
-    got = got[got["f"] >= SHARE * got.groupby("g")["f"].transform("max")]
-    return Filters(names, [((x := got[got["lang"] == k])["g"].to_numpy().view(np.uint64), x["n"].to_numpy()) for k in names], bits)
+    names, words = sorted(per), -(-len(per) // 64)
+    filters = Filters(names, [(np.zeros(0, np.uint64), np.zeros(0))] * len(names), bits)
+    counted = materialise(map_arrow(part, count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
+    total = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}  # one row a language
+    if not total:
+        return filters
+    of = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)]), F.col("lang"))
+    sizes = F.element_at(F.create_map(*[F.lit(x) for pair in total.items() for x in pair]), F.col("lang"))
+    own = counted.select(of.alias("k"), "g", (F.col("n") / sizes).alias("f"))
+    own = own.withColumn("most", F.max("f").over(Window.partitionBy("g"))).where(F.col("f") >= SHARE * F.col("most")).select("k", "g")
+    marks = pa.schema([("cell", pa.int64()), ("mask", pa.int64())])
+
+    def mark(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        k, g = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        cell = np.concatenate([at * words + k // 64 for at in slots(g, bits)])
+        mask = np.tile(np.uint64(1) << (k % 64).astype(np.uint64), HASHES)
+        order = np.argsort(cell, kind="stable")
+        u, first = np.unique(cell[order], return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bitwise_or.reduceat(mask[order], first).view(np.int64))], schema=marks)
+
+    # at most one row a cell of the table, whatever the sample
+    got = map_arrow(own, mark, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()
+    filters.add(got["cell"].to_numpy(np.int64), got["mask"].to_numpy(np.int64).view(np.uint64))
+    return filters
 
 
 def predict(docs: DataFrame, key: str, text: str, filters: Filters, extra: dict[str, Column] | None = None) -> DataFrame:

@@ -377,6 +377,17 @@ def test_languages_of_odd_rows(spark):
     assert wide.table.shape == (1 << 12, 2)
 
 
+def test_language_filters_keep_small_languages(spark):
+    r = random.Random(1)
+    big = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6600)) for _ in range(200)]
+    once, twice = "wer reitet so spät durch nacht und wind", "to be or not to be that is the question"
+    rows = [("big", t) for t in big * 3] + [("once", once)] + [("twice", twice)] * 2  # over a million common n-grams of one language
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(8)
+    f = langid.learn(df, "lang", "text", F.xxhash64("doc_id"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, "doc_id", "text", f).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(rows)}
+
+
 # --- 7: quality
 
 
