@@ -2,8 +2,9 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); a stage reads what the
 stage before it wrote. All but the last return the columns of documents. Null
-ids and repeated rows pass like others; rows that repeat id and text count as
-one document of their group and stay together.
+ids and repeated rows pass like others. Near duplicates are told apart by id
+and text: rows that repeat both count as one document of their group and stay
+together, but of rows without an id a group keeps one at most.
 """
 
 from __future__ import annotations
@@ -22,10 +23,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component."""
-    found = neardup.near_duplicates(docs, "doc_id", "text")
-    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The document with the smallest id of each near-duplicate component, one without an id only where none has one."""
+    rows = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
+    found = neardup.near_duplicates(rows.select("_k", "text"), "_k", "text").withColumnRenamed("id", "_k").distinct()
+    ids = rows.select("_k", "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k")).alias("first")
+    keep = found.join(ids, "_k").groupBy("component_id").agg(least, F.max("n_shingles").alias("n"))
+    keep = materialise(keep.select("first._k", (F.col("first.none") & F.coalesce(F.col("n") > 0, F.lit(False))).alias("single")), "keep")
+    kept = rows.join(keep.where("NOT single").select("_k"), "_k", "left_semi").select(*docs.columns)
+    single = rows.where("doc_id IS NULL").join(keep.where("single").select("_k"), "_k", "left_semi")
+    single = single.groupBy("_k").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.unionByName(single)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,13 @@ def test_odd_rows_pass(spark):
     for _, stage in corpus_pipeline.STAGES:
         for docs in (df, df.limit(0)):
             assert stage(spark, docs, SF).count() <= 10
+
+
+def test_near_duplicates_without_own_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    texts = [(None, a), (None, a), (None, a + " end"), (1, b), (None, b), (2, c), (5, c), (5, d), (4, d + " end"), (None, ""), (None, None), (7, "one of a kind"), (7, "one of a kind")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
+    alone = [x for x in got.elements() if x[0] is None and x[1] and x[1].startswith("a0")]
+    assert len(alone) == 1
+    assert got - collections.Counter(alone) == collections.Counter([(1, b), (2, c), (4, d + " end"), (None, ""), (None, None), (7, "one of a kind"), (7, "one of a kind")])
