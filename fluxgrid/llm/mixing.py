@@ -11,7 +11,8 @@ for it, by the best of all their roundings.
 Scale: documents of one source are dealt to groups of about `block` by hash
 (a hot source has many groups), each group's flight leaves at most three
 undecided, and those go to the next, some hundred times smaller level until
-one group per source is left, which lands. Sources' targets are found in one
+one group per source is left, which lands at its own level, however many the
+other sources need. Sources' targets are found in one
 pass over the per-source totals (one row a source). Only ids and sizes are
 shuffled. All choices follow from hashes of the rows, so reruns agree.
 
@@ -115,7 +116,7 @@ def mix(df: DataFrame, source: str, size, weights: tuple[float, ...] = WEIGHTS,
     done, level = [], 0
     while True:
         last = state.agg(F.max("__mix_groups")).first()[0] in (None, 1)
-        state = materialise(_fly(state, source, level, last), f"mix-{level}")
+        state = materialise(_fly(state, source, level), f"mix-{level}")
         decided = F.col("__mix_p").isin(0.0, 1.0)
         done.append(state if last else state.where(decided))
         if last:
@@ -129,8 +130,8 @@ def mix(df: DataFrame, source: str, size, weights: tuple[float, ...] = WEIGHTS,
     return out.select(*own, "size", "source_size", "target", copies.alias("copies"))
 
 
-def _fly(state: DataFrame, source: str, level: int, last: bool) -> DataFrame:
-    """One level: flight in every group of rows, and landing where it is the last."""
+def _fly(state: DataFrame, source: str, level: int) -> DataFrame:
+    """One level: flight in every group of rows, and landing where it is its source's only one."""
     schema = state.schema
 
     def run(t: pa.Table) -> pa.Table:
@@ -138,7 +139,7 @@ def _fly(state: DataFrame, source: str, level: int, last: bool) -> DataFrame:
         size, h, p = t["size"].to_numpy().astype(float), t["__mix_h"].to_numpy(), t["__mix_p"].to_numpy().copy()
         x = np.stack([np.ones(len(p)), size / max(1.0, size.mean())], 1)
         u = ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)) >> np.uint64(11)) / float(1 << 53)
-        if last:  # the largest rows and some others wait for the landing, which needs room to choose
+        if t["__mix_groups"][0].as_py() == 1:  # the largest rows and some others wait for the landing, which needs room to choose
             wait = np.flatnonzero((p > 0) & (p < 1))
             large = wait[np.argsort(-size[wait], kind="stable")[: LANDING // 2]]
             wait = np.union1d(large, np.setdiff1d(wait, large)[: LANDING - len(large)])

@@ -306,6 +306,14 @@ def test_mix_of_blocks_and_odd_rows(spark):
     assert mixing.mix(empty(spark), "source", mixing.word_count("text")).count() == 0
 
 
+def test_small_sources_land_beside_large_ones(spark):
+    r = random.Random(4)
+    rows = [("a", i, 10) for i in range(400)] + [(f"b{k}", 1000 + 100 * k + i, r.randint(500, 2500) / 10) for k in range(6) for i in range(20)]
+    df = spark.createDataFrame([(s, i, float(n)) for s, i, n in rows], "source string, id long, n double")
+    got = mixing.mix(df, "source", F.col("n"), weights=(5.0, *[2.0] * 6), block=64).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert {g["source"] for g in got if abs(g["taken"] - g["target"]) > 2} <= {"a"}
+
+
 # --- 5: repeated passages
 
 
