@@ -5,7 +5,10 @@ non-blank run that follows it: the byte-level pre-tokeniser never lets a token
 span the border between a non-blank and a blank. Each Python worker remembers
 the ids of pieces it has met (at most ``MAX_PIECES``, then it starts anew), so
 only pieces new to the worker go through the tokenizers library. Texts with
-other or repeated blanks are encoded as a whole.
+other or repeated blanks, and texts that hold the string of an added token
+(such as `<|endoftext|>`), are encoded as a whole: the library finds added
+tokens before it cuts a text into pieces, and gives them their own ids unless
+`special_as_text` is set.
 """
 
 from __future__ import annotations
@@ -85,19 +88,20 @@ class _Known(dict):
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.vocab = tokenizer.get_vocab_size()
         self.known = _Known(tokenizer)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _odd(text):
+        if _odd(text) or any(a in text for a in self.added):
             return self.known.whole(text)
         pieces = text.replace("\n", " \n").split(" ")
         known = self.known
@@ -106,9 +110,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder for each worker and vocabulary."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
 
 
 def keyed_texts(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[int | None, str | None]]:

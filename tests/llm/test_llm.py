@@ -213,15 +213,19 @@ def test_licence_sentences_end(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.tokenizer_path())
 
 
-def test_pieces_encode_like_texts(tokenizer, documents):
-    enc, rng = tokens.Encoder(tokens.tokenizer_path()), random.Random(1)
+@pytest.mark.parametrize("as_text", [False, True])
+def test_pieces_encode_like_texts(documents, as_text):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.tokenizer_path())
+    tokenizer.encode_special_tokens = as_text
+    enc, rng = tokens.Encoder(tokens.tokenizer_path(), as_text), random.Random(1)
+    assert (50256 in np.frombuffer(enc.encode("hello <|endoftext|> world"), "<u4")) is not as_text
     parts = ["a", "Zé", ".", ",", " ", "\n", "\t", "'s", " the", "12", "ß!", "\x1c", "　", "  ", "<|endoftext|>", "é.", "don't.", "\xa0"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [t for _, t, *_ in documents[:60]]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [t for _, t, *_ in documents[:60]] + ["a <|endoftext|>", "<|endoftext|>b", " <|endoftext|> \n c", "<|endoftext|" + "> d"]
     for t in texts:
         assert enc.encode(t) == struct.pack(f"<{len(i := tokenizer.encode(t, add_special_tokens=False).ids)}I", *i), repr(t)
 
@@ -235,6 +239,17 @@ def test_records_round_trip(spark, documents, tokenizer):
         start += len(ids)
 
 
+def test_records_and_pieces_of_added_tokens(spark, tmp_path, tokenizer):
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|endoftext|>"), (3, "a<|endoftext|>b " * 3), (4, "plain <| endoftext |>")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = records.read_records(spark, records.write_records(df, "doc_id", "text", str(tmp_path), tokens.tokenizer_path())).orderBy("key").collect()
+    cuts = {r["doc_id"]: r for r in packing.pieces(df, "doc_id", "text", tokens.tokenizer_path()).collect()}
+    for r, (i, t) in zip(got, rows):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [2]
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        assert (r["key"], r["ids"], r["ids_crc32"], cuts[i]["ids_crc32"]) == (i, raw, zlib.crc32(raw), zlib.crc32(raw))
+
+
 def test_records_of_odd_rows_and_damage(spark, tmp_path):
     manifest = records.write_records(odd(spark), "doc_id", "text", str(tmp_path), tokens.tokenizer_path())
     got = records.read_records(spark, manifest).orderBy("start").collect()
