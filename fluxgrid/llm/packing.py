@@ -5,9 +5,13 @@ squared). A sequence is a bin with three capacities. In order of decreasing
 length, each piece goes to the open bin that has room in every dimension and
 scores best: least weighted norm of the residual after placing (`score="norm"`)
 or largest weighted product of demand and residual (`score="dot"`); without
-such a bin a new one opens.
+such a bin a new one opens. All three demands act: bins of equal room differ
+by the documents and the attention cost they hold, the weights trade that room
+against tokens, and a sequence takes at most four times the mean number of
+pieces (64 at least), a bound that n pieces can meet in the fewest sequences.
 
-Packing is done in blocks of about `block` pieces, dealt by hash, so a task's
+Packing is done in blocks of about `block` pieces, dealt by a hash of the row's
+place in the written pieces (rows that repeat spread like others), so a task's
 memory does not grow with the input; each block leaves at most a few
 sequences partly filled, so the waste against one global packing is of the
 order of 1/block. Only (id, lengths) are shuffled, never texts.
@@ -30,6 +34,10 @@ from pyspark.sql import functions as F
 from fluxgrid.llm.shared import map_arrow, materialise
 from fluxgrid.llm.tokens import encoder, keyed_texts, tokenizer_path
 
+#: Weights of tokens, documents and attention cost in a bin's score.
+WEIGHTS = (1.0, 0.3, 0.3)
+#: Pieces a sequence may hold by default: so many, or so many times the mean.
+LEAST_DOCUMENTS, TIMES_MEAN = 64, 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -55,7 +63,7 @@ def pieces(df: DataFrame, key: str, text: str, tokenizer: str, most: int = 1024,
     return map_arrow(df.select(F.col(key).cast("long"), F.col(text)), encode, PIECES)
 
 
-def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float] = WEIGHTS, score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length. capacity: tokens, documents, attention cost of a bin; every length must fit an empty one."""
     if score not in ("norm", "dot"):
         raise ValueError("score must be 'norm' or 'dot'")
@@ -89,12 +97,18 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
     return where, offset
 
 
-def pack(found: DataFrame, most: int = 1024, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4), score: str = "norm", block: int = 8192) -> DataFrame:
-    """found (see `pieces`) with sequence_id and offset. By default documents and cost are bounded as tokens imply."""
-    found = materialise(found, "pieces")
-    n = max(1, -(-found.count() // block))
-    capacity = (most, max_documents or most, max_cost or most * most)
-    dealt = found.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("long"))
+def pack(found: DataFrame, most: int = 1024, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm", block: int = 8192) -> DataFrame:
+    """found (see `pieces`) with sequence_id and offset.
+
+    max_documents: by default LEAST_DOCUMENTS or TIMES_MEAN times the mean number of pieces a sequence; max_cost: by default that of
+    one piece of `most` tokens, which must fit.
+    """
+    found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    rows, total = found.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    n = max(1, -(-rows // block))
+    mean = rows * most / max(1, total)
+    capacity = (most, max_documents or max(LEAST_DOCUMENTS, int(TIMES_MEAN * mean)), max_cost or most * most)
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)).cast("long")).drop("row")
     schema = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def fill(t: pa.Table) -> pa.Table:

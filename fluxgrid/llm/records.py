@@ -9,14 +9,15 @@ with little-endian numbers and ids of 2 bytes where the vocabulary has at most
 ``MAGIC_INDEX | per record: i64 key, u8 key is null, u64 offset, u64 ids | u32 masked crc``,
 so records can be read in any order.
 
-Layout and recovery: rows are range-partitioned by key, so a shard holds a
-run of keys and no row is collected; each task streams one shard to the
+Layout and recovery: rows are range-partitioned by key, then by a hash of the
+text and by where the row was read, so a shard holds a run of keys, a repeated
+key can fill several shards and no row is collected; each task streams one shard to the
 shared folder under a name of its own. A retried task writes another file and
 only the file of the task that succeeded is in the manifest, which is written
 once and has one row a shard.
 
 Null texts count as empty (only the end id); null keys come first; repeated
-keys stay, ordered by text; an empty table gives no shard and no row. Columns
+keys stay, in the order of their texts' hashes; an empty table gives no shard and no row. Columns
 other than key and text are not read, whatever their names.
 """
 
@@ -61,7 +62,9 @@ def file_system(uri: str):
 
 def write_records(df: DataFrame, key: str, text: str, out: str, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Encode and write every row of df in ascending key order below the folder `out`; returns the manifest."""
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    order = ["key", "hash", "part"]
+    rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("hash"), F.spark_partition_id().alias("part"), F.col(text).alias("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

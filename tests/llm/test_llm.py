@@ -253,7 +253,7 @@ def test_records_and_pieces_of_added_tokens(spark, tmp_path, tokenizer):
 def test_records_of_odd_rows_and_damage(spark, tmp_path):
     manifest = records.write_records(odd(spark), "doc_id", "text", str(tmp_path), tokens.tokenizer_path())
     got = records.read_records(spark, manifest).orderBy("start").collect()
-    assert [r["key"] for r in got] == [None, None, 1, 2, 3, 4, 4, 5] and got[0]["n_tokens"] == 1
+    assert [r["key"] for r in got] == [None, None, 1, 2, 3, 4, 4, 5] and 1 in (got[0]["n_tokens"], got[1]["n_tokens"])
     file = manifest.first()["file"] if manifest.count() == 1 else manifest.orderBy("part").first()["file"]
     with open(file, "rb") as f:
         (at, n) = records.read_index(open(file[:-4] + ".idx", "rb").read())[0][1:]
@@ -267,6 +267,19 @@ def test_records_of_odd_rows_and_damage(spark, tmp_path):
     assert records.read_records(spark, none).count() == 0
 
 
+def test_records_of_a_hot_key(spark, tmp_path):
+    rows = [(7 if i % 3 else i, f"text {i % 5}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = records.write_records(df, "doc_id", "text", str(tmp_path), tokens.tokenizer_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = records.read_records(spark, manifest).orderBy("start").collect()
+    assert [r["key"] for r in got] == sorted(k for k, _ in rows)
+    assert max(r["n_records"] for r in manifest.collect()) < 1000  # two thirds of the rows have one key
+
+
 # --- 4: mixing
 
 
@@ -505,6 +518,29 @@ def test_capacities_hold(score):
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
 
 
+def test_every_demand_acts():
+    lengths = np.array([700, 350, 350, 100])  # two bins with equal room in tokens: one piece, or two of half the cost
+    chosen = lambda w, score="norm": int(packing.best_fit(lengths, (1024, 64, 1024 * 1024), w, score)[0][3])
+    assert (chosen((1, 0, 0)), chosen((1, 0.3, 0)), chosen((1, 0, 0.3))) == (0, 1, 0)
+    assert (chosen((1, 0, 0.3), "dot"), chosen((1, 0.3, 0), "dot")) == (1, 0)
+    many = packing.best_fit(np.full(600, 2), (1024, 64, 1024 * 1024))[0]
+    assert np.bincount(many).max() == 64 and many.max() == 9
+    assert packing.best_fit(np.full(10, 10), (1024, 64, 250))[0].max() == 4
+
+
+def test_packing_is_near_the_least(spark, documents, tokenizer):
+    got = packing.op9_best_fit_packing(spark, "/root/testdata/sf0.01").agg(F.sum("length").alias("t"), F.countDistinct("sequence_id").alias("s")).first()
+    assert got["s"] <= 1.003 * got["t"] / 1024 + 1
+
+
+def test_packing_deals_repeated_rows(spark):
+    df = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(300).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"))
+    got = packing.pack(df, block=500)
+    blocks = got.groupBy(F.shiftright("sequence_id", 32)).count().collect()
+    assert len(blocks) == 8 and max(r["count"] for r in blocks) < 700 and sum(r["count"] for r in blocks) == 4000
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").isEmpty()
+
+
 def test_packing_of_odd_rows(spark):
     got = packing.pack(packing.pieces(odd(spark), "doc_id", "text", tokens.tokenizer_path()))
     assert got.where("length = 1").count() >= 3 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").isEmpty()
