@@ -6,15 +6,23 @@ triangle inequality gives d(q, x) >= max over pivots p of |d(q, p) - d(x, p)|,
 so q.x = (|q|^2 + |x|^2 - d^2) / 2 has an upper bound. Candidates are evaluated
 in order of that bound, until it falls below the k-th best score: exact.
 
-Scale: a block of queries meets each block of candidates once (the query set
-against all rows, in blocks); each meeting returns at most k rows a query,
-and merging keeps k a query before and after the shuffle. Pivots are chosen
-farthest-first from a bounded hash sample (at most ``SAMPLE`` vectors).
+Scale: the queries, packed in chunks, go to every block of candidates (the
+query set against all rows, in blocks); a block of candidates moves once, and
+the chunks stream past it one at a time. Each meeting returns at most k rows a
+query, and merging keeps k a query before and after the shuffle. Pivots are
+chosen farthest-first from a bounded hash sample (at most ``SAMPLE`` vectors).
+Rows are dealt to blocks by their place in the written table, so rows that
+repeat spread like others.
+
+Scores are exact whatever the components: in doubles while every product sum
+stays below 2^53, else in whole numbers of any size. A score that belongs to
+the result but does not fit a long raises an error.
 
 Vectors that are null, empty, or hold null, NaN or infinite components, and
 rows with a null id take no part. Vectors of unlike lengths: missing
 components count 0. Rows with equal ids are different rows; ties go to the
-smaller id. With fewer than k candidates all are returned.
+smaller id. With fewer than k candidates all are returned. An empty table
+gives no row. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,15 +41,33 @@ SAMPLE = 2000
 #: Vectors in a block, about.
 BLOCK = 4096
 QUERY_BLOCK = 512
-FOUND = "query_id long, query_row long, vec_id long, score long"
-_FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = "query_id long, query_row long, vec_id long, over int, score long"
+_FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("over", pa.int32()), ("score", pa.int64())])
 
 
 def quantised(vector: str, scale: int = 64) -> Column:
-    """floor(scale * x) of each component, or null where the vector takes no part."""
-    v = F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    bad = F.exists(F.col(vector).cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return F.when(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad, v)
+    """floor(scale * x) / scale of each component, or null where the vector takes no part.
+
+    scale is a power of two, so the division is exact and no finite component overflows; from 2^45 on a double is whole.
+    """
+    if scale & (scale - 1):
+        raise ValueError("scale must be a power of two")
+    v = F.col(vector).cast("array<double>")
+    size = float(scale)
+    whole = F.transform(v, lambda x: F.when(F.abs(x) < float(1 << 45), F.floor(x * size).cast("double") / size).otherwise(x))
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.when(v.isNotNull() & (F.size(v) > 0) & ~bad, whole)
+
+
+def exact(v: np.ndarray, scale: int) -> list[int]:
+    """scale times each component, as whole numbers of any size."""
+    return [int(x * scale) if abs(x) < 1 << 45 else int(x) * scale for x in v.tolist()]
+
+
+def small(x: np.ndarray, scale: int) -> np.ndarray:
+    """Which vectors have a norm below 2^26 after scaling: inner products among those are exact in doubles."""
+    with np.errstate(over="ignore"):
+        return np.square(np.abs(x).max(1, initial=0) * scale) * x.shape[1] < float(1 << 52)
 
 
 def matrix(rows: list, dim: int) -> np.ndarray:
@@ -65,8 +91,22 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 def table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of every vector to every pivot."""
-    d2 = np.square(x).sum(1)[:, None] + np.square(pivots).sum(1) - 2 * (x @ pivots.T)
-    return np.sqrt(np.maximum(d2, 0))
+    out = np.zeros((len(x), len(pivots)))
+    for j, p in enumerate(pivots):
+        out[:, j] = np.sqrt(np.square(x - p).sum(1))
+    return out
+
+
+def bounds(q: np.ndarray, q_table: np.ndarray, x: np.ndarray, x_table: np.ndarray) -> np.ndarray:
+    """Upper bound of each query's inner product with each candidate, by the pivots; no less than it with all rounding."""
+    low = np.zeros((len(q), len(x)))
+    for j in range(x_table.shape[1]):
+        np.maximum(low, np.abs(x_table[:, j] - q_table[:, j, None]), out=low)
+    nq, nx = np.square(q).sum(1), np.square(x).sum(1)
+    both = nq[:, None] + nx
+    np.square(np.maximum(low - 1e-9 * np.sqrt(both), 0, out=low), out=low)
+    low = (both - low) / 2
+    return low + 1e-9 * both
 
 
 def search(q: np.ndarray, q_table: np.ndarray, x: np.ndarray, x_table: np.ndarray, ids: np.ndarray, skip: np.ndarray, k: int, step: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -74,88 +114,114 @@ def search(q: np.ndarray, q_table: np.ndarray, x: np.ndarray, x_table: np.ndarra
     out = []
     if not len(x):
         return [(np.zeros(0, int), np.zeros(0))] * len(q)
-    nq, nx = np.square(q).sum(1), np.square(x).sum(1)
+    bound = bounds(q, q_table, x, x_table)
     for i in range(len(q)):
-        low = np.abs(x_table - q_table[i]).max(1) if x_table.shape[1] else np.zeros(len(x))
-        low = np.maximum(low - 1e-6 * (1 + low), 0)
-        bound = (nq[i] + nx - low * low) / 2 + 1e-6
+        mine = bound[i]
         if skip[i] >= 0:
-            bound[skip[i]] = -np.inf
+            mine[skip[i]] = -np.inf
         size, left = step, np.arange(len(x))
-        at, score, kth = np.zeros(0, int), np.zeros(0), -np.inf
+        at, score = np.zeros(0, int), np.zeros(0)
         while len(left):
             if len(left) > size:  # the next candidates in bound order
-                part = np.argpartition(-bound[left], size)
+                part = np.argpartition(-mine[left], size)
                 now, left = left[part[:size]], left[part[size:]]
             else:
                 now, left = left, left[:0]
-            now = now[bound[now] > -np.inf]
+            now = now[mine[now] > -np.inf]
             at, score = np.concatenate([at, now]), np.concatenate([score, x[now] @ q[i]])
             best = np.lexsort((ids[at], -score))[:k]
             at, score = at[best], score[best]
             if len(at) == k:
-                left = left[bound[left] >= score[-1]]  # the rest cannot come in: exact stopping
+                left = left[mine[left] >= score[-1]]  # the rest cannot come in: exact stopping
             size *= 4
         out.append((at, score))
     return out
 
 
+def meeting(q: np.ndarray, q_table: np.ndarray, x: np.ndarray, x_table: np.ndarray, ids: np.ndarray, skip: np.ndarray, k: int, scale: int) -> list[list[tuple[int, int]]]:
+    """The k best (score, position) of each query in a block: by the pivots among small vectors, in whole numbers where a large one is met."""
+    fine, plain = small(x, scale), small(q, scale)
+    where = np.flatnonzero(fine)
+    place = np.full(len(x) + 1, -1)
+    place[where] = np.arange(len(where))
+    got = search(q[plain] * scale, q_table[plain], x[where] * scale, x_table[where], ids[where], place[skip[plain]], k)
+    out: list[list[tuple[int, int]]] = [[] for _ in q]
+    for i, (at, score) in zip(np.flatnonzero(plain), got):
+        out[i] = [(int(s), int(j)) for s, j in zip(score, where[at])]
+    if plain.all() and fine.all():
+        return out
+    rows = {j: exact(x[j], scale) for j in (range(len(x)) if not plain.all() else np.flatnonzero(~fine).tolist())}
+    for i in range(len(q)):
+        mine = exact(q[i], scale)
+        more = [(sum(a * b for a, b in zip(mine, row)), j) for j, row in rows.items() if j != skip[i] and not (plain[i] and fine[j])]
+        out[i] = sorted(out[i] + more, key=lambda f: (-f[0], ids[f[1]]))[:k]
+    return out
+
+
 def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, pivots: int = 24, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) for each row of df that is_query holds for, against all other rows."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("vec_id"), quantised(vector, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = materialise(rows.where("vec_id is not null and v is not null"), "vectors")
+    rows = materialise(rows.where("vec_id is not null and v is not null").withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SAMPLE))) == 0).select("v").limit(4 * SAMPLE)
-    pivot = choose_pivots(matrix([r.v for r in some.collect()], dim), pivots).tolist()
-    n_blocks = -(-n // BLOCK)
-    block = "block long, ids binary, q binary, x binary, pivots binary"
-    schema = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "q", "x", "pivots"))])
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE))) == 0).select("v").limit(4 * SAMPLE)
+    sample = matrix([r.v for r in some.collect()], dim)
+    pivot = choose_pivots(sample[small(sample, scale)] * scale, pivots).tolist()
+    n_blocks, n_pivots = -(-n // BLOCK), len(pivot)
+    block = "block long, q_block long, ids binary, q binary, x binary, pivots binary"
+    schema = pa.schema([("block", pa.int64()), ("q_block", pa.int64()), *((c, pa.binary()) for c in ("ids", "q", "x", "pivots"))])
 
     def build(t: pa.Table) -> pa.Table:
         p, x = np.array(pivot).reshape(-1, dim), matrix(t["v"].to_pylist(), dim)
-        cells = [t["vec_id"].to_numpy().tobytes(), np.array(t["q"].to_pylist(), bool).tobytes(), x.tobytes(), table(x, p).astype(np.float64).tobytes()]
-        return pa.table([[t["block"][0].as_py()], *([c] for c in cells)], schema=schema)
+        fine = small(x, scale)
+        distances = np.zeros((len(x), len(p)))
+        distances[fine] = table(x[fine] * scale, p)
+        cells = [t["vec_id"].to_numpy().tobytes(), np.array(t["q"].to_pylist(), bool).tobytes(), x.tobytes(), distances.tobytes()]
+        return pa.table([[t["block"][0].as_py()], [-1], *([c] for c in cells)], schema=schema)
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("long"))
     blocks = materialise(dealt.groupBy("block").applyInArrow(build, block), "vector-blocks")
-    n_pivots = len(pivot)
 
     def unpack(r: dict) -> tuple:
         m = len(r["ids"]) // 8
-        return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q"], bool), np.frombuffer(r["x"]).reshape(m, dim), np.frombuffer(r["pivots"]).reshape(m, n_pivots)
-
-    asked = "q_block long, q_ids binary, q_at binary, q_x binary, q_pivots binary"
-    a_schema = pa.schema([("q_block", pa.int64()), *((c, pa.binary()) for c in ("q_ids", "q_at", "q_x", "q_pivots"))])
+        return np.frombuffer(r["ids"], np.int64), r["q"], np.frombuffer(r["x"]).reshape(m, dim), np.frombuffer(r["pivots"]).reshape(m, n_pivots)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for b in batches for r in b.to_pylist()):
             ids, q, x, tab = unpack(r)
-            at = np.flatnonzero(q)
+            at = np.flatnonzero(np.frombuffer(q, bool))
             for lo in range(0, len(at), QUERY_BLOCK):
                 a = at[lo : lo + QUERY_BLOCK]
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), *(pa.array([c.tobytes()], pa.binary()) for c in (ids[a], a, x[a], tab[a]))], schema=a_schema)
+                cells = [[r["block"]], [r["block"]], *([c.tobytes()] for c in (ids[a], a, x[a], tab[a]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, schema.types)], schema=schema)
 
-    # every block of queries goes once to each block of candidates
-    queries = blocks.mapInArrow(ask, asked).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
+    # a block of candidates goes to one task and leads it; the chunks of queries go to every block and stream past
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>"))
+    queries = blocks.mapInArrow(ask, block).withColumn("block", every)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in (r for b in batches for r in b.to_pylist()):
-            ids, _, x, tab = unpack(r)
-            q_ids, at = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_at"], np.int64)
-            q, q_tab = np.frombuffer(r["q_x"]).reshape(len(at), dim), np.frombuffer(r["q_pivots"]).reshape(len(at), n_pivots)
-            own = np.where(r["block"] == r["q_block"], at, -1)
-            got = search(q, q_tab, x, tab, ids, own, k)
-            many = [len(a) for a, _ in got]
-            cols = [np.repeat(q_ids, many), np.repeat(r["q_block"] * (1 << 32) + at, many), ids[np.concatenate([a for a, _ in got])], np.concatenate([s for _, s in got]).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_FOUND)
-
-    pairs = queries.join(blocks, "block").select("block", "ids", "q", "x", "pivots", "q_block", "q_ids", "q_at", "q_x", "q_pivots")
-    found = pairs.repartition(n_blocks * max(1, n_blocks // 4), "block", "q_block").mapInArrow(meet, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        here = None
+        for r in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            if r["q_block"] < 0:
+                here, (ids, _, x, tab) = r["block"], unpack(r)
+                continue
+            q_ids, at, q, q_tab = unpack(r)
+            at = np.frombuffer(at, np.int64)
+            own = np.where(here == r["q_block"], at, -1)
+            out = []
+            for i, best in enumerate(meeting(q, q_tab, x, tab, ids, own, k, scale)):
+                for score, j in best:
+                    over = (score >= 1 << 63) - (score < -1 << 63)
+                    out.append((int(q_ids[i]), r["q_block"] << 32 | int(at[i]), int(ids[j]), over, 0 if over else score))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND.types)], schema=_FOUND)
+
+    found = blocks.unionByName(queries).repartition(n_blocks, "block").sortWithinPartitions("block", "q_block").mapInArrow(meet, FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_row", "query_id").orderBy(F.desc("over"), F.desc("score"), "vec_id"))
+    fits = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("long"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

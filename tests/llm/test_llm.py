@@ -567,6 +567,55 @@ def test_topk_equals_brute_force(spark):
     assert small.count() == 3 and topk.top_k(df.limit(0), "vec_id", "embedding", F.col("vec_id") == 0).count() == 0
 
 
+def exact_topk(rows, k, asks):
+    out = []
+    for m, (i, v) in enumerate(rows):
+        if asks(i):
+            scored = sorted((-sum(a * b for a, b in zip(v, u)), j) for n, (j, u) in enumerate(rows) if n != m)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_topk_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.15, (150, 6)) for c in (-1, 0, 1)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 120  # repeated rows fill no single block
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 5 == 0)
+    assert sorted(map(tuple, got.collect())) == exact_topk([(i, np.floor(64 * np.array(v)).astype(int).tolist()) for i, v in rows], 20, lambda i: i % 5 == 0)
+
+
+def test_pivots_spare_candidates(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.floor(np.concatenate([rng.normal(30 * c, 2, (500, 8)) for c in range(6)]))
+    pivots = topk.choose_pivots(x, 12)
+    tab, q, done = topk.table(x, pivots), x[::500], []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            done.append(np.size(at))
+            return np.asarray(self)[at]
+
+    bound = topk.bounds(q, tab[::500], x, tab)
+    assert (bound >= q @ x.T).all()
+    got = topk.search(q, tab[::500], x.view(Counted), tab, np.arange(len(x)), np.full(len(q), -1), 5)
+    assert all((np.sort(s)[::-1] == np.sort(x @ v)[::-1][:5]).all() for (_, s), v in zip(got, q))
+    assert sum(done) < 0.5 * len(q) * len(x)  # the pivot table, not a scan of all
+
+
+def test_topk_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    big = [(0, [1e18, 0.5]), (1, [0.0, 2.0]), (2, [3.0, 1e15]), (3, [1.0, -1.0]), (4, [3e-3, 1.0]), (5, [0.0, 1e12]), (6, [0.0, -3e11])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    whole = [(i, [int(x * 64) if x == int(x) else int(np.floor(x * 64)) for x in v]) for i, v in big]
+    got = topk.top_k(df.where("vec_id <> 0"), "vec_id", "embedding", F.col("vec_id").isin(1, 3, 4), k=3)
+    assert sorted(map(tuple, got.collect())) == exact_topk(whole[1:], 3, lambda i: i in (1, 3, 4))
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1e18])], "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") == 0).collect()
+
+
 # --- shared
 
 
