@@ -14,13 +14,16 @@ its highest one, however rare it is and however many there are: Spark chooses
 the n-grams and gathers the rows they set, so no language can push out another.
 The table has a fixed number of rows, so its size does not grow with the corpus. Prediction is one pass over whole texts, no shuffle.
 
-Null texts and texts without a letter get `und` and score 0. Without any
-labelled row every text gets `und`. Null or repeated ids are rows like others.
+Null texts and texts without a letter (Unicode category L) get `und` and score
+0. Without any labelled row every text gets `und`. Null or repeated ids are
+rows like others, dealt to the sample by id and text. Texts are counted whole, a
+very long one alone in its chunk. Bytes that are no UTF-8 count as a sign.
+Columns other than key, text and language are not read, whatever their names;
+`predict` returns the key, its extra columns, lang_pred and score.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,7 +41,6 @@ GRAM = 5
 SHARE = 0.5
 #: Rows of the bit-sliced table, and rows that an n-gram sets.
 BITS, HASHES = 1 << 21, 3
-_LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.full(256, 0x20, np.uint8)
 _CLASS[0x80:] = np.arange(0x80, 0x100)
 _CLASS[97:123] = np.arange(97, 123)
@@ -47,12 +49,13 @@ _CLASS[65:91] = np.arange(97, 123)
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of a chunk of texts as numbers, and the text of each; none spans two texts, none has a blank inside a word border twice."""
-    raw = b"\n".join(t.decode().lower().encode() for t in texts)
-    b = _CLASS[np.frombuffer(b"\n" + raw + b"\n" * GRAM, np.uint8)]
+    lower = [t.decode(errors="replace").lower().encode() for t in texts]
+    b = _CLASS[np.frombuffer(b"\n" + b"\n".join(lower) + b"\n" * GRAM, np.uint8)]
     keep = np.ones(len(b), bool)
     keep[1:] = (b[1:] != 0x20) | (b[:-1] != 0x20)
-    sizes = np.fromiter((len(t.decode().lower().encode()) + 1 for t in texts), np.int64, len(texts))
+    sizes = np.fromiter((len(t) + 1 for t in lower), np.int64, len(lower))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
+    keep[bounds[:-1]] = True  # the blank in front of a text, whatever the text before ends with
     where = np.flatnonzero(keep)
     doc = np.searchsorted(bounds, where, "right") - 1
     b = b[where].astype(np.uint64)
@@ -65,6 +68,11 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[ok], doc[:n][ok]
 
 
+def has_letter(text: bytes) -> bool:
+    """Whether a text holds a character of category L."""
+    return any(map(str.isalpha, text.decode(errors="replace")))
+
+
 def slots(g: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(g + np.uint64(0x9E3779B97F4A7C15))
     step = (h >> np.uint64(32)) | np.uint64(1)
@@ -160,7 +168,7 @@ def predict(docs: DataFrame, key: str, text: str, filters: Filters, extra: dict[
             counts, _ = f.counts(part)
             sums = counts.sum(1)
             best = counts.argmax(1) if counts.shape[1] else np.zeros(len(part), int)
-            letters = [bool(_LETTER.search(t.decode())) for t in part]
+            letters = list(map(has_letter, part))
             names, scores = [], []
             for i, has in enumerate(letters):
                 named = has and len(f.languages) > 0
@@ -176,5 +184,5 @@ def op6_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents: doc_id, held_out, lang_pred, score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    filters = learn(docs.where(~held), "lang", "text", F.xxhash64("doc_id"))
+    filters = learn(docs.where(~held), "lang", "text", F.xxhash64("doc_id", "text"))
     return predict(docs, "doc_id", "text", filters, {"held_out": held})

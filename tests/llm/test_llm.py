@@ -413,6 +413,57 @@ def test_languages_of_odd_rows(spark):
     assert wide.table.shape == (1 << 12, 2)
 
 
+def gram_counts(text):
+    """n-grams of a text by definition: bytes of lower-cased letters, everything else in ASCII one blank, and a blank in front."""
+    b = re.sub(rb"[\x00-\x7f]", lambda m: m[0] if m[0].isalpha() else b" ", text.lower().encode())
+    b = re.sub(rb" +", b" ", b" " + b)
+    return collections.Counter(b[i : i + langid.GRAM] for i in range(len(b) - langid.GRAM + 1))
+
+
+def test_filters_equal_brute_force(spark, documents):
+    """n-grams, choice by relative frequency, masks, popcounts and their correction, counted anew without numpy or Spark."""
+    rows = [(i, t, g) for i, t, g, _ in documents if t and g][:120]
+    f = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), "lang", "text", F.xxhash64("doc_id", "text"))
+    own = {g: collections.Counter() for _, _, g in rows}
+    for _, t, g in rows:
+        own[g].update(gram_counts(t))
+    share = {g: {x: n / sum(c.values()) for x, n in c.items()} for g, c in own.items()}
+    most = collections.Counter()
+    for c in share.values():
+        for x, y in c.items():
+            most[x] = max(most[x], y)
+    chosen = {g: {x for x, y in c.items() if y >= langid.SHARE * most[x]} for g, c in share.items()}
+    number = lambda x: int.from_bytes(x, "little")
+    bits = {g: set() for g in chosen}
+    for g, xs in chosen.items():
+        for at in langid.slots(np.array([number(x) for x in xs], np.uint64), langid.BITS):
+            bits[g] |= set(at.tolist())
+    assert f.languages == sorted(chosen) and np.allclose(f.false, [(len(bits[g]) / langid.BITS) ** langid.HASHES for g in f.languages])
+    tests = [t for _, t, _, _ in documents if t][120:150]
+    got, total = f.counts([t.encode() for t in tests])
+    for t, row, n in zip(tests, got, total):
+        c = gram_counts(t)
+        assert n == sum(c.values())
+        for g, p, value in zip(f.languages, f.false, row):
+            hits = sum(k for x, k in c.items() if all(int(s[0]) in bits[g] for s in langid.slots(np.array([number(x)], np.uint64), langid.BITS)))
+            assert hits >= sum(k for x, k in c.items() if x in chosen[g])  # no false negatives
+            assert abs(value - max((hits - n * p) / (1 - p), 0)) < 1e-6
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(1, "der hund und die katze", "de"), (2, "the dog and the cat", "en"), (3, "½ ² 12", None), (4, "Ⅷ ٣ ①", None), (5, "ª", None), (6, "漢字", None), (7, "_ - 9", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, "doc_id", "text", langid.learn(df, "lang", "text", F.xxhash64("doc_id", "text"))).collect()}
+    assert [i for i, x in got.items() if x == "und"] == [3, 4, 7] and langid.has_letter(b"\xff a") and not langid.has_letter(b"\xff")
+
+
+def test_sample_of_null_ids_is_bounded(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("wort "), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    assert len(secrets.train(df, "text", "doc_id", sample=100)) and quality.plan(df, "text", "doc_id", sample=100)
+    part = df.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(40)) == 0).count()
+    assert 50 < part < 200
+
+
 def test_language_filters_keep_small_languages(spark):
     r = random.Random(1)
     big = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6600)) for _ in range(200)]
