@@ -147,7 +147,7 @@ def cascade(texts: Texts, order: list[str], rules: dict[str, Callable] = RULES,
 def plan(df: DataFrame, text: str, key: str, rules: dict[str, Callable] = RULES, sample: int = SAMPLE) -> list[str]:
     """Rule names by rejections per second, most first, measured on a hash sample of about `sample` rows."""
     n = df.count()
-    part = df.select(F.col(text)) if n <= sample else df.where(F.pmod(F.xxhash64(key), F.lit(n // sample)) == 0).select(text)
+    part = df.select(F.col(text)) if n <= sample else df.where(F.pmod(F.xxhash64(key, text), F.lit(n // sample)) == 0).select(text)
     schema = pa.schema([("rule", pa.string()), ("s", pa.float64()), ("rejected", pa.int64()), ("n", pa.int64())])
 
     def measure(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
