@@ -15,8 +15,11 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     Labels spread over edges and jump to their label's label, so rounds grow with the logarithm of the diameter.
     """
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # the cluster's folder; one of our own only where none is named
-        root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "fluxgrid-checkpoints")
+    if not spark.sparkContext.getCheckpointDir():  # the cluster's folder; one of our own only in a local session without
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = root or os.path.join(tempfile.gettempdir(), "fluxgrid-checkpoints")
         spark.sparkContext.setCheckpointDir(root)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxgrid.operators import windows as W
+
+#: Time ranges that an irregular search is dealt into.
+RANGES = 256
+
 
 def take(df: DataFrame, slices: DataFrame, index: str = "i") -> DataFrame:
     """Rows of each slice (slice_id, start, stop), with rel counted from its start.
@@ -37,15 +42,25 @@ def nearest(times: DataFrame, queries: DataFrame, ts: float = 1.0, t0: float = 0
     return queries.join(n, F.lit(True)).select("t", F.greatest(F.lit(0), F.least(guess, F.col("n") - 1)).cast("long").alias("i"))
 
 
-def nearest_irregular(samples: DataFrame, queries: DataFrame) -> DataFrame:
-    """(t, i) for samples (i, t) at any times: the neighbour before and after are found by one sort of both, ties to the lower index."""
+def nearest_irregular(samples: DataFrame, queries: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """(t, i) for samples (i, t) at any times, ties to the lower index.
+
+    Samples and queries are dealt into time ranges of about equal size; in each the neighbours before and after are found
+    by one sort of both, and a range whose edge has none takes the last sample of the ranges before, or the first after.
+    """
+    cuts = sorted(set(samples.approxQuantile("t", [k / ranges for k in range(1, ranges)], 1 / (2 * ranges)))) if ranges > 1 else []
     both = samples.select("t", "i").withColumn("q", F.lit(0)).unionByName(queries.select("t").withColumn("i", F.lit(None).cast("long")).withColumn("q", F.lit(1)))
-    up = Window.orderBy("t", "q")
-    down = Window.orderBy(F.desc("t"), "q")
+    at = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    blk = F.size(F.filter(at, lambda c: c <= F.col("t")))
     near = F.when(F.col("q") == 0, F.struct("t", "i"))
-    found = both.withColumn("a", F.last(near, True).over(up)).withColumn("b", F.last(near, True).over(down)).where("q = 1")
-    first = F.col("b").isNull() | (F.abs(F.col("t") - F.col("a.t")) < F.abs(F.col("b.t") - F.col("t"))) | ((F.abs(F.col("t") - F.col("a.t")) == F.abs(F.col("b.t") - F.col("t"))) & (F.col("a.i") < F.col("b.i")))
-    return found.select("t", F.when(F.col("a").isNotNull() & first, F.col("a.i")).otherwise(F.col("b.i")).alias("i"))
+    # queries come after the samples of their time, and before them in the other direction; of one time the lowest index stays
+    both = both.groupBy("t", "q").agg(F.min("i").alias("i"), F.count("*").alias("n")).withColumn("one", F.lit(1))
+    found = W.filled(both.withColumn("o", F.struct("t", "q")), near, "a", ["one"], "o", blk=blk)
+    found = W.filled(found.withColumn("o", F.struct("t", (-F.col("q")).alias("q"))), near, "b", ["one"], "o", back=True, blk=blk).where("q = 1")
+    before, after = F.abs(F.col("t") - F.col("a.t")), F.abs(F.col("b.t") - F.col("t"))
+    first = F.col("b").isNull() | (before < after) | ((before == after) & (F.col("a.i") < F.col("b.i")))
+    found = found.withColumn("r", F.when(F.col("a").isNotNull() & first, F.col("a.i")).otherwise(F.col("b.i")))
+    return found.select("t", F.col("r").alias("i"), F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("t", "i")
 
 
 def offsets(files: DataFrame) -> DataFrame:
@@ -55,9 +70,16 @@ def offsets(files: DataFrame) -> DataFrame:
 
 
 def frame_to_file(frames: DataFrame, files: DataFrame) -> DataFrame:
-    """(frame_idx, file_idx, local) of global frames."""
-    o = offsets(files).select("file_idx", "off", "n")
-    return frames.join(o, (F.col("frame_idx") >= F.col("off")) & (F.col("frame_idx") < F.col("off") + F.col("n"))).select("frame_idx", "file_idx", (F.col("frame_idx") - F.col("off")).alias("local"))
+    """(frame_idx, file_idx, local) of global frames.
+
+    Frames and files meet in bins as wide as the longest file, an equi-join: a file lies in at most two bins.
+    """
+    width = files.agg(F.greatest(F.lit(1), F.max("n")).cast("long").alias("width"))  # one row
+    o = offsets(files).where("n > 0").select("file_idx", "off", "n").join(width, F.lit(True))
+    o = o.withColumn("bin", F.explode(F.sequence(F.floor(F.col("off") / F.col("width")), F.floor((F.col("off") + F.col("n") - 1) / F.col("width"))))).drop("width")
+    f = frames.select("frame_idx").join(width, F.lit(True)).withColumn("bin", F.floor(F.col("frame_idx") / F.col("width"))).drop("width")
+    both = f.join(o, "bin").where("frame_idx >= off and frame_idx < off + n")
+    return both.select("frame_idx", "file_idx", (F.col("frame_idx") - F.col("off")).alias("local"))
 
 
 def file_to_frame(local: DataFrame, files: DataFrame) -> DataFrame:
@@ -73,14 +95,15 @@ def enrich_events(events: DataFrame, files: DataFrame) -> DataFrame:
     return events.join(o, "file_idx").withColumn("abs_frame_idx", F.col("off") + F.col("frame_idx")).withColumn("trial", trial).withColumn("phase", phase.cast("int")).drop("off")
 
 
-def pulses(df: DataFrame, base: int, gap: int, least: int = 1) -> DataFrame:
+def pulses(df: DataFrame, base: int, gap: int, least: int = 1, block: int = W.BLOCK) -> DataFrame:
     """(roi, start, stop) of stimulus pulses: above 4 times the mean of the first `base` samples; a pulse ends after more than `gap` low samples."""
     level = df.where(F.col("i") < base).groupBy("roi").agg((4 * F.avg("v")).alias("thr"))
     high = df.join(level, "roi").where("v > thr").select("roi", "i")
-    w = Window.partitionBy("roi").orderBy("i")
-    new = (F.col("i") - F.lag("i").over(w) > gap + 1) | F.lag("i").over(w).isNull()
-    runs = high.withColumn("g", F.sum(new.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("roi", "g").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop")).drop("g")
+    high = W.filled(high, F.col("i"), "before", block=block)
+    new = F.col("before").isNull() | (F.col("i") - F.col("before") > gap + 1)
+    runs = W.filled(high.withColumn("new", new), F.when(F.col("new"), F.col("i")), "open", block=block)
+    runs = runs.withColumn("start", F.when(F.col("new"), F.col("i")).otherwise(F.col("open")))
+    out = runs.groupBy("roi", "start").agg((F.max("i") + 1).alias("stop"))
     return out.where(F.col("stop") - F.col("start") >= least)
 
 
@@ -102,6 +125,7 @@ def split_channels(frames: DataFrame, n: int) -> DataFrame:
 
 
 def sampling_period(times: DataFrame) -> DataFrame:
-    """(Ts, irregular) of samples (i, t): mean step, and whether the steps' deviation exceeds their mean."""
-    step = F.col("t") - F.lag("t").over(Window.orderBy("i"))
-    return times.select(step.alias("d")).agg(F.avg("d").alias("Ts"), (F.try_divide(F.stddev_pop("d"), F.avg("d")) > 1).alias("irregular"))
+    """(Ts, irregular) of samples (i, t): mean step, and whether the steps' deviation exceeds their mean. Neighbours meet by an equi-join on i."""
+    after = times.select((F.col("i") - 1).alias("i"), F.col("t").alias("next"))
+    step = times.select("i", "t").join(after, "i").select((F.col("next") - F.col("t")).alias("d"))
+    return step.agg(F.avg("d").alias("Ts"), (F.try_divide(F.stddev_pop("d"), F.avg("d")) > 1).alias("irregular"))

@@ -40,12 +40,19 @@ def compute_dff(df: DataFrame, window: int, filter_size: int | None = None, step
     if filter_size and filter_size > 1:
         odd = filter_size + (filter_size % 2 == 0)
         padded = W.median_filter(padded, odd, first=-(window - 1), block=block)
+    elif step == 1:  # the unfiltered window ends at the sample itself: nothing is joined back
+        low = W.halo(padded, window - 1, 0, block).withColumn("f0", F.min("v").over(W.frame(window - 1, 0)))
+        return _relative(W.own(low, block).where("i >= 0").select("roi", "i", "v", "f0"), root_f)
     low = W.halo(padded, window - 1, 0, block).withColumn("f0", F.min("v").over(W.frame(window - 1, 0)))
     low = W.own(low, block).where("i >= 0").select("roi", "i", "f0")
     if step > 1:
         held = low.where(F.col("i") % step == 0).select("roi", (F.col("i") / step).cast("long").alias("g"), "f0")
         low = low.select("roi", "i", F.floor(F.col("i") / step).alias("g")).join(held, ["roi", "g"]).drop("g")
-    out = base.join(low, ["roi", "i"])
+    return _relative(base.join(low, ["roi", "i"]), root_f)
+
+
+def _relative(out: DataFrame, root_f: bool) -> DataFrame:
+    """out (roi, i, v, f0) with dff."""
     under = F.when(F.col("f0") >= 0, F.sqrt(F.greatest(F.col("f0"), F.lit(0.0)))) if root_f else F.col("f0")
     return out.withColumn("dff", F.try_divide(F.col("v") - F.col("f0"), under))
 
@@ -132,17 +139,14 @@ def transients(df: DataFrame, window: int, low: float = 0.0, high: float = 2.5,
     above = F.coalesce(F.col("v") > F.col("med") + high * F.col("sd"), F.lit(False))
     below = F.coalesce(F.col("v") <= F.col("med") + low * F.col("sd"), F.lit(False))
     b = b.select("roi", "i", above.alias("ab"), below.alias("be"))
-    # only the samples that carry an event's borders are kept; a whole trace of them is scanned in order
-    up, down = Window.partitionBy("roi").orderBy("i"), Window.partitionBy("roi").orderBy(F.desc("i"))
+    # a sample above is never below, so a run's borders are the nearest samples below on both sides of any of its samples
     at = F.when(F.col("be"), F.col("i"))
-    begins = F.col("ab") & ~F.coalesce(F.lag("ab").over(up), F.lit(False))
-    marked = b.withColumn("lb", F.last(at, True).over(up.rowsBetween(Window.unboundedPreceding, -1))).withColumn("nb", F.last(at, True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = marked.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("long")).over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.where("ab").groupBy("roi", "run").agg(F.min("lb").alias("lb"), F.max("nb").alias("nb"))
+    marked = W.filled(W.filled(b, at, "lb"), at, "nb", back=True).where("ab")
     if skip_last:
-        last = runs.groupBy("roi").agg(F.max("run").alias("last"))
-        runs = runs.join(last, "roi").where("run < last")
-    runs = runs.where("lb is not null and nb is not null").select("roi", (F.col("lb") + 1).alias("start"), F.col("nb").alias("stop"))
+        last = b.where("ab").groupBy("roi").agg(F.max("i").alias("top"))
+        low = b.join(last, "roi").where("not ab and i < top").groupBy("roi").agg(F.max("i").alias("cut"))
+        marked = marked.join(low, "roi").where("i < cut")
+    runs = marked.where("lb is not null and nb is not null").select("roi", (F.col("lb") + 1).alias("start"), F.col("nb").alias("stop"))
     return runs.where(F.col("stop") - F.col("start") >= width[0]).where(F.col("stop") - F.col("start") <= width[1]).distinct()
 
 

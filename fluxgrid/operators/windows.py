@@ -55,6 +55,26 @@ def sliding(df: DataFrame, agg: Column, name: str, size: int, step: int = 1, pos
     return out if step == 1 else out.where(F.pmod(F.col("i") - before, F.lit(step)) == 0)
 
 
+def filled(df: DataFrame, value: Column, name: str, by: list[str] = ["roi"], order: str = "i", back: bool = False, block: int = BLOCK, blk: Column | None = None) -> DataFrame:  # noqa: B006
+    """df with `name`: the last value that is not null before each row (with back: the next one after it) in order of `order`.
+
+    A block is scanned on its own; the values that blocks hand on come from a scan of one row a block, so no task holds a
+    whole trace. blk: the block of each row, by default `block` samples of `order`; blocks must be in the order of their rows.
+    """
+    df = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / block) if blk is None else blk)
+    inner = Window.partitionBy(*by, "_b").orderBy(F.desc(order) if back else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*by).orderBy(F.desc("_b") if back else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    pick = F.min_by if back else F.max_by
+    held = df.groupBy(*by, "_b").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_h"))
+    held = held.withColumn("_h", F.last("_h", True).over(outer)).where("_h is not null")
+    held = held.select(*[F.col(c).alias("_k" + c) for c in by], F.col("_b").alias("_kb"), "_h")
+    same = F.col("_b") == F.col("_kb")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col("_k" + c))
+    out = df.withColumn("_l", F.last("_v", True).over(inner)).join(held, same, "left")
+    return out.withColumn(name, F.coalesce("_l", "_h")).drop("_v", "_b", "_l", "_h", "_kb", *["_k" + c for c in by])
+
+
 def lengths(df: DataFrame) -> DataFrame:
     return df.groupBy("roi").agg((F.max("i") + 1).alias("c"))
 
@@ -77,9 +97,16 @@ def median_filter(df: DataFrame, size: int, first: int = 0, block: int = BLOCK)
     """Centred running median of odd size; edges mirrored with the edge sample repeated."""
     half = size // 2
     padded = edge_repeated(df.select("roi", "i", "v"), first, half)
-    out = halo(padded, half, half, block).withColumn("v", F.percentile("v", F.lit(0.5)).over(frame(half, half)))
-    ends = lengths(df)
-    return own(out, block).where(F.col("i") >= first).join(ends, "roi").where("i < c").drop("c")
+    spec = frame(half, half)  # only a mirrored end lacks neighbours, so full windows are the trace's own samples
+    out = halo(padded, half, half, block).withColumn("k", F.count("*").over(spec))
+    out = own(out.withColumn("v", median("v", size, spec)), block)
+    return out.where((F.col("i") >= first) & (F.col("k") == size)).drop("k")
+
+
+def median(column: str, size: int, spec: WindowSpec) -> Column:
+    """Median of a full window of odd size: the middle of its sorted values, missing ones last as in `percentile` of few samples."""
+    values = F.array_sort(F.collect_list(column).over(spec))
+    return F.when(F.size(values) == size, F.element_at(values, size // 2 + 1)).otherwise(F.percentile(column, F.lit(0.5)).over(spec))
 
 
 def causal_median_filter(df: DataFrame, size: int, block: int = BLOCK) -> DataFrame:

@@ -267,7 +267,7 @@ def _(spark, sf):
     return movie.motion_borders(X.motion(spark, sf), 8, 8)
 
 
-@query("shift_frames", "SELECT p.frame_idx, p.y, p.x, round(coalesce(q.v, 0), 6) + 0.0 AS v FROM p JOIN mo ON mo.frame_idx = p.frame_idx LEFT JOIN p q ON q.frame_idx = p.frame_idx AND q.y = p.y - mo.y AND q.x = p.x - mo.x", "p=pixels", "mo=motion")
+@query("shift_frames", ", m AS (SELECT p.frame_idx, p.y + CAST(mo.y AS BIGINT) AS y, p.x + CAST(mo.x AS BIGINT) AS x, v FROM p JOIN mo USING (frame_idx)) SELECT p.frame_idx, p.y, p.x, round(coalesce(m.v, 0), 6) + 0.0 AS v FROM p LEFT JOIN m USING (frame_idx, y, x)", "p=pixels", "mo=motion")
 def _(spark, sf):
     return rounded(movie.shift_integer(X.pixels(spark, sf), X.motion(spark, sf), 8, 8), "v").selectExpr("frame_idx", "CAST(y AS BIGINT) AS y", "CAST(x AS BIGINT) AS x", "v")
 

@@ -74,5 +74,5 @@ SQL = {
     "roi_pixels": "SELECT r AS roi_id, c // 8 AS y, c % 8 AS x FROM range(4) a(r), range(64) b(c) WHERE CASE r WHEN 0 THEN c // 8 < 4 AND c % 8 < 4 WHEN 1 THEN c // 8 >= 4 AND c % 8 >= 4 WHEN 2 THEN c // 8 BETWEEN 2 AND 5 AND c % 8 BETWEEN 2 AND 5 ELSE c // 8 BETWEEN 2 AND 3 AND c % 8 BETWEEN 2 AND 3 END",
     "slices": "SELECT k AS slice_id, k * 40 + 10 AS start, k * 40 + 30 AS stop FROM range(5) a(k)",
     "motion": "SELECT vec_id AS frame_idx, CAST(vec_id % 5 - 2 AS DOUBLE) AS x, CAST(vec_id % 3 - 1 AS DOUBLE) AS y FROM embeddings",
-    "events_i2c": "SELECT event_id, event_id // 10 + (event_id % 10) / 10.0 AS data, event_id % 100 AS frame_idx, event_id // 100 AS file_idx FROM events WHERE event_id < 500",
+    "events_i2c": "SELECT event_id, event_id // 10 + (event_id % 10) / 10.0 AS data, event_id % 100 AS frame_idx, (event_id // 100) % (SELECT count(DISTINCT vec_id // 100) FROM embeddings) AS file_idx FROM events",
 }
