@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from fluxgrid.functions import deconvolution
 from fluxgrid.functions import kernels as K
 
+#: Partial matrices that the driver adds up at most.
+GROUPS = 8
+
 
 def modes(df: DataFrame, fixed: bool = False) -> DataFrame:
     """(roi, m): half-sample mode of each trace."""
@@ -85,43 +88,57 @@ def motion_correct(frames: DataFrame, my: int, mx: int, iterations: int = 5, thr
 
 
 def motion_by_chunk(frames: DataFrame, chunk: str, my: int, mx: int, iterations: int = 5, threshold: float = 1.0) -> DataFrame:
-    """(frame_idx, chunk, x, y, metric, x_local, y_local): each chunk registered on its own in one task, then the chunks' templates
-    (one image a chunk) on each other."""
-    schema = "frame_idx long, chunk int, x_local double, y_local double, metric double, h int, w int, image array<double>"
-
-    def local(t: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(t["h"].iloc[0]), int(t["w"].iloc[0])
-        m = np.stack([np.asarray(p, float).reshape(h, w) for p in t["px"]])
-        total = np.zeros((len(m), 2))
-        for _ in range(iterations):
-            moved = np.stack([K.shift(f, *s) for f, s in zip(m, total)])
-            image = np.median(moved, 0)
-            got = np.array([K.register(f, image, my, mx) for f in moved])
-            total += got[:, :2]
-            if np.abs(got[:, :2]).max() < threshold:
-                break
-        image = np.median([K.shift(f, *s) for f, s in zip(m, total)], 0).ravel()
-        first = [image] + [None] * (len(m) - 1)
-        return pd.DataFrame({"frame_idx": t["frame_idx"].to_numpy(), "chunk": int(t["_c"].iloc[0]), "x_local": total[:, 0], "y_local": total[:, 1], "metric": got[:, 2], "h": h, "w": w, "image": first})
-
-    each = frames.withColumn("_c", F.col(chunk).cast("int")).groupBy("_c").applyInPandas(local, schema).persist()
-    images = each.where("image is not null").orderBy("chunk").toPandas()
-    stack = np.stack([np.asarray(i).reshape(h, w) for i, h, w in zip(images["image"], images["h"], images["w"])])
-    total = np.zeros((len(stack), 2))
+    """(frame_idx, chunk, x, y, metric, x_local, y_local): each chunk registered on its own template, then the chunks' templates
+    (one image a chunk, on the driver) on each other. Templates are pixel medians by aggregation, frames are registered one
+    by one beside their chunk's template: no task holds a chunk."""
+    from fluxgrid.operators import movie
+
+    kind = "frame_idx long, chunk int, x double, y double, metric double"
+    base = frames.select("frame_idx", "h", "w", F.col("px").cast("array<double>").alias("px"), F.col(chunk).cast("int").alias("chunk"))
+
+    def moved(total: DataFrame | None) -> DataFrame:
+        return base if total is None else apply_shifts(base, total.select("frame_idx", "x", "y"))
+
+    def templates(here: DataFrame) -> DataFrame:
+        px = movie.pixels(here).join(here.select("frame_idx", "chunk"), "frame_idx")
+        image = px.groupBy("chunk", "y", "x").agg(F.percentile("v", F.lit(0.5)).alias("v"))
+        return image.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("image"))
+
+    def register(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            got = [K.register(np.asarray(p, float).reshape(h, w), np.asarray(i, float).reshape(h, w), my, mx) for p, i, h, w in zip(t["px"], t["image"], t["h"], t["w"])]
+            yield pd.DataFrame([(i, c, *g[:3]) for i, c, g in zip(t["frame_idx"], t["chunk"], got)], columns=["frame_idx", "chunk", "x", "y", "metric"])
+
+    total = None
+    for _ in range(iterations):
+        here = moved(total)
+        found = written(here.join(templates(here), "chunk").select("frame_idx", "chunk", "h", "w", "px", "image").mapInPandas(register, kind))
+        most = found.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0]
+        if total is not None:
+            old = total.select("frame_idx", F.col("x").alias("ox"), F.col("y").alias("oy"))
+            found = written(found.join(old, "frame_idx").select("frame_idx", "chunk", (F.col("x") + F.col("ox")).alias("x"), (F.col("y") + F.col("oy")).alias("y"), "metric"))
+        total = found
+        if most is None or most < threshold:
+            break
+    size = base.select("h", "w").first()
+    images = templates(moved(total)).orderBy("chunk").toPandas()  # one image a chunk
+    stack = np.stack([np.asarray(i).reshape(size["h"], size["w"]) for i in images["image"]])
+    sums = np.zeros((len(stack), 2))
     for _ in range(iterations):
-        moved = np.stack([K.shift(f, *s) for f, s in zip(stack, total)])
-        got = np.array([K.register(f, np.median(moved, 0), my, mx) for f in moved])
-        total += got[:, :2]
+        here = np.stack([K.shift(f, *s) for f, s in zip(stack, sums)])
+        got = np.array([K.register(f, np.median(here, 0), my, mx) for f in here])
+        sums += got[:, :2]
         if np.abs(got[:, :2]).max() < threshold:
             break
-    g = frames.sparkSession.createDataFrame(pd.DataFrame({"chunk": images["chunk"].astype("int32"), "gx": total[:, 0], "gy": total[:, 1]}))
-    return each.join(g, "chunk").select("frame_idx", "chunk", (F.col("x_local") + F.col("gx")).alias("x"), (F.col("y_local") + F.col("gy")).alias("y"), "metric", "x_local", "y_local")
+    g = frames.sparkSession.createDataFrame(pd.DataFrame({"chunk": images["chunk"].astype("int32"), "gx": sums[:, 0], "gy": sums[:, 1]}))
+    local = total.select("frame_idx", "chunk", F.col("x").alias("x_local"), F.col("y").alias("y_local"), "metric")
+    return local.join(g, "chunk").select("frame_idx", "chunk", (F.col("x_local") + F.col("gx")).alias("x"), (F.col("y_local") + F.col("gy")).alias("y"), "metric", "x_local", "y_local")
 
 
 def pca(frames: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(components, mean): the k leading directions of the frames (k rows of pixels), by partial Gram matrices of the pixels.
 
-    The matrix has pixels^2 cells, so resize frames first; one partial matrix a batch group is aggregated by sums.
+    The matrix has pixels^2 cells, so resize frames first; tasks send one partial matrix each to a few tasks that add them up.
     """
     schema = pa.schema([("n", pa.int64()), ("s", pa.list_(pa.float64())), ("g", pa.list_(pa.float64()))])
 
@@ -134,10 +151,20 @@ def pca(frames: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s], pa.list_(pa.float64())), pa.array([g.ravel()], pa.list_(pa.float64()))], schema=schema)
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, g = 0, 0.0, 0.0
+        for r in (r for b in batches for r in b.to_pylist()):
+            n, s, g = n + r["n"], s + np.array(r["s"]), g + np.array(r["g"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s], pa.list_(pa.float64())), pa.array([g], pa.list_(pa.float64()))], schema=schema)
+
     part = frames.select("px").mapInArrow(run, "n long, s array<double>, g array<double>")
+    part = part.repartition(GROUPS).mapInArrow(add, part.schema)  # executors add up; at most GROUPS matrices reach the driver
     n, s, g = 0, 0.0, 0.0
-    for r in part.toLocalIterator():  # one matrix a task
+    for r in part.toLocalIterator():
         n, s, g = n + r["n"], s + np.array(r["s"]), g + np.array(r["g"])
+    if not n:
+        raise ValueError("no frames")
     mean = s / n
     cov = g.reshape(len(mean), -1) / n - np.outer(mean, mean)
     values, vectors = np.linalg.eigh(cov)
@@ -154,14 +181,141 @@ def pca_ica(frames: DataFrame, k: int, mu: float = 0.5, ica: bool = True) -> np.
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, m = shared.value
         for t in batches:
-            yield pd.DataFrame({"frame_idx": t["frame_idx"], "z": list((np.stack(t["px"]).astype(float) - m) @ c.T)})
+            yield pd.DataFrame({"z": list((np.stack(t["px"]).astype(float) - m) @ c.T)})
 
-    time = frames.select("frame_idx", "px").mapInPandas(reduce, "frame_idx long, z array<double>").orderBy("frame_idx").toPandas()
-    z = np.stack(time["z"])
+    time = written(frames.select("frame_idx", "px").mapInPandas(reduce, "z array<double>"))
     space = comps.T - comps.T.mean(0)
-    scaled = lambda a, f: np.nan_to_num(f * a / np.abs(a).max(0), posinf=0.0, neginf=0.0)
-    joint = np.concatenate([scaled(space, mu), scaled(z - z.mean(0), 1 - mu)])
-    return K.fast_ica(joint)[: len(space)].T
+    top = time.agg(*[F.max(F.abs(F.col("z")[i])).alias(f"m{i}") for i in range(len(comps))]).first()
+    scale = lambda a, most: np.divide(a, most, out=np.zeros_like(a), where=most > 0)
+    most = np.array(list(top), float)
+    part = scale(np.full(len(comps), 1 - mu), most)
+    return independent(mu * scale(space, np.broadcast_to(np.abs(space).max(0), space.shape)), time, part).T
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written once under the checkpoint folder, so that rounds read it and lost executors cost no recomputation."""
+    from fluxgrid.operators.graph import checkpoint_folder
+
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def independent(own: np.ndarray, time: DataFrame, part: np.ndarray, rounds: int = 200, tol: float = 1e-3, seed: int = 0) -> np.ndarray:
+    """Independent sources of the rows `own` (few) within the joint sample of own and time's z times part.
+
+    The fixed point of the log-cosh contrast is iterated by aggregates: each round sums two k x k matrices over the
+    executors, so the driver holds own and matrices of k columns, never the frames' scores.
+    """
+    k = own.shape[1]
+
+    def sums(f) -> list[np.ndarray]:
+        """Sums over all rows of the arrays that f makes of a block of rows."""
+        shapes = [np.shape(x) for x in f(np.zeros((1, k)))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    got = f(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k) * part)
+                    total = got if total is None else [x + y for x, y in zip(total, got)]
+            if total is not None:
+                flat = np.concatenate([np.ravel(x) for x in total])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["p", "x"])
+
+        found = time.mapInArrow(run, "p long, x double").groupBy("p").agg(F.sum("x")).collect()  # as many numbers as f makes
+        flat = np.concatenate([np.ravel(x) for x in f(own)])
+        for p, x in found:
+            flat[p] += x
+        cuts = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
+        return [flat[i:j].reshape(s) for i, j, s in zip(cuts, cuts[1:], shapes)]
+
+    n, mean = sums(lambda z: [np.array([float(len(z))]), z.sum(0)])
+    n = max(1.0, float(n[0]))
+    mean = mean / n
+    (cov,) = sums(lambda z: [(z - mean).T @ (z - mean)])
+    values, vectors = np.linalg.eigh(cov / n)
+    keep = values > 1e-12 * max(values.max(), 1e-300)
+    white = (vectors[:, keep] / np.sqrt(values[keep])).T
+    w = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(white), len(white))))[0]
+    for _ in range(rounds):
+        turn = w @ white
+
+        def step(z: np.ndarray, turn: np.ndarray = turn) -> list[np.ndarray]:
+            g = np.tanh((z - mean) @ turn.T)
+            return [g.T @ ((z - mean) @ white.T), (1 - g**2).sum(0)]
+
+        a, b = sums(step)
+        u, _, v = np.linalg.svd(a / n - np.diag(b / n) @ w)
+        new = u @ v
+        done = np.abs(np.abs((new * w).sum(1)) - 1).max() < tol
+        w = new
+        if done:
+            break
+    return (own - mean) @ white.T @ w.T
+
+
+def nmf(frames: DataFrame, k: int, rounds: int = 30, inner: int = 20, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+    """(images, weights): k non-negative images whose weighted sums (frame_idx, w) come near the frames, less their 1st percentile, cut at 0.
+
+    A frame's weights follow from the images alone (multiplicative updates from equal weights), so no round stores any;
+    images are updated by two sums over all frames, of weights times pixels and weights times weights.
+    """
+    low = frames.select(F.explode("px").alias("v")).agg(F.percentile_approx("v", F.lit(0.01), F.lit(100_000))).first()[0] or 0.0
+    pixels = int(frames.select(F.size("px").alias("n")).first()["n"])
+    images = np.random.default_rng(seed).random((k, pixels)) + 0.1
+
+    def fit(px: np.ndarray, images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = np.maximum(px.astype(float) - low, 0)
+        w, top, under = np.ones((len(y), len(images))), y @ images.T, images @ images.T
+        for _ in range(inner):
+            w *= top / (w @ under + 1e-12)
+        return y, w
+
+    for _ in range(rounds):
+        now = images
+
+        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            a, b = np.zeros((k, pixels)), np.zeros((k, k))
+            for batch in batches:
+                if batch.num_rows:
+                    y, w = fit(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), now)
+                    a, b = a + w.T @ y, b + w.T @ w
+            flat = np.concatenate([a.ravel(), b.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["p", "x"])
+
+        found = frames.select("px").mapInArrow(sums, "p long, x double").groupBy("p").agg(F.sum("x")).collect()  # k images and a k x k matrix
+        flat = np.zeros(k * pixels + k * k)
+        for p, x in found:
+            flat[p] = x
+        a, b = flat[: k * pixels].reshape(k, pixels), flat[k * pixels :].reshape(k, k)
+        for _ in range(inner):
+            images = images * (a / (b @ images + 1e-12))
+    last = images
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            yield pd.DataFrame({"frame_idx": t["frame_idx"], "w": list(fit(np.stack(t["px"]), last)[1])})
+
+    return images, frames.select("frame_idx", "px").mapInPandas(weigh, "frame_idx long, w array<double>")
+
+
+def segment(frames: DataFrame, k: int, chunk: int = 3000, n: int = 3, factor: float = 1.0, mu: float = 0.5, ica: bool = True, **limits) -> DataFrame:
+    """(roi_set, roi_id, y, x): regions found in chunks of `chunk` frames (one set a chunk): n-frame means, resized, to components, to regions.
+
+    factor 1 keeps the images' size; a smaller one bounds the pixel covariance, and regions are in the resized image's pixels.
+    """
+    from fluxgrid.operators import movie
+
+    spark, out = frames.sparkSession, None
+    small = written(movie.frames_of(movie.means(frames, chunk, n)))
+    small = small if factor == 1.0 else written(resize(small, factor))
+    h, w = small.select("h", "w").first()
+    for c in [r[0] for r in small.select("chunk").distinct().orderBy("chunk").collect()]:  # one number a chunk
+        images = pca_ica(small.where(F.col("chunk") == c), k, mu, ica)
+        comps = spark.createDataFrame([(i, h, w, m.tolist()) for i, m in enumerate(images)], "comp int, h int, w int, px array<double>")
+        found = component_regions(comps, **limits).withColumn("roi_set", F.lit(int(c)))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def component_regions(components: DataFrame, **limits) -> DataFrame:

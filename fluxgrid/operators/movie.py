@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of masks that extract_blocks sends to each task at most.
+MASK_BYTES = 64 << 20
+
+
 def pixels(frames: DataFrame) -> DataFrame:
     """(frame_idx, y, x, v), NaN as null."""
     rows = frames.select("frame_idx", "w", F.posexplode("px").alias("pos", "v"))
@@ -59,6 +63,8 @@ def extract(px: DataFrame, roi: DataFrame) -> DataFrame:
 
 def extract_blocks(frames: DataFrame, masks: dict[int, np.ndarray]) -> DataFrame:
     """As `extract`, by one product of masks and frames a batch. masks: boolean images by region; a few, given by the caller."""
+    if sum(m.size for m in masks.values()) * 8 > MASK_BYTES:
+        raise ValueError("masks are sent to every task: use extract for so many")
     names = sorted(masks)
     weight = np.stack([masks[k].ravel() / max(1, masks[k].sum()) for k in names], 1) if names else np.zeros((0, 0))
     schema = pa.schema([("roi", pa.int32()), ("i", pa.int64()), ("v", pa.float64())])
@@ -85,6 +91,24 @@ def resample(px: DataFrame, n: int, total: int) -> DataFrame:
     return kept.groupBy(F.floor(F.col("frame_idx") / n).alias("frame_idx"), "y", "x").agg(F.avg("v").alias("v"))
 
 
+def generate(px: DataFrame, size: int, total: int, start: int = 0, stop: int | None = None, enforce_size: bool = False, pad: bool = False) -> DataFrame:
+    """(chunk, rel, frame_idx, y, x, v): the frames start..stop in chunks of `size`, with each frame's place in its chunk and its index.
+
+    The last chunk may be short; enforce_size drops it, and pad fills it with rows of missing values (frame_idx null).
+    """
+    stop = total if stop is None else min(stop, total)
+    part = px.where((F.col("frame_idx") >= start) & (F.col("frame_idx") < stop))
+    at = F.col("frame_idx") - start
+    out = part.select(F.floor(at / size).alias("chunk"), (at % size).alias("rel"), F.col("frame_idx").cast("long").alias("frame_idx"), "y", "x", "v")
+    short = max(0, stop - start) % size
+    if short and enforce_size:
+        out = out.where(F.col("chunk") < (stop - start) // size)
+    elif short and pad:
+        fill = px.select("y", "x").distinct().withColumn("rel", F.explode(F.sequence(F.lit(short).cast("long"), F.lit(size - 1).cast("long"))))
+        out = out.unionByName(fill.select(F.lit((stop - start) // size).cast("long").alias("chunk"), "rel", F.lit(None).cast("long").alias("frame_idx"), "y", "x", F.lit(None).cast("double").alias("v")))
+    return out
+
+
 def chunks(px: DataFrame, size: int, n: int = 1, subtract_mean: bool = False) -> DataFrame:
     """(chunk, frame_idx, y, x, v): tumbling chunks of `size` frames, each reduced to means of n frames (its own remainder
     dropped), optionally less the movie's pixel means."""
@@ -97,6 +121,18 @@ def chunks(px: DataFrame, size: int, n: int = 1, subtract_mean: bool = False) ->
     return out
 
 
+def means(frames: DataFrame, size: int, n: int) -> DataFrame:
+    """As `chunks`, of whole frames: (chunk, frame_idx, y, x, v) with h and w."""
+    shape = frames.select("h", "w").limit(1)  # one row
+    return chunks(pixels(frames), size, n).join(shape, F.lit(True))
+
+
+def frames_of(px: DataFrame) -> DataFrame:
+    """Frames (chunk, frame_idx, h, w, px) of pixel rows that also have chunk, h and w."""
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
+    return px.groupBy("chunk", "frame_idx", "h", "w").agg(F.transform(cells, lambda p: p["v"]).alias("px"))
+
+
 def max_movie(px: DataFrame, size: int, n: int) -> DataFrame:
     """(chunk, y, x, v): highest value above the mean, over the n-frame means of each chunk."""
     return chunks(px, size, n).groupBy("chunk", "y", "x").agg((F.max("v") - F.avg("v")).alias("v"))
@@ -108,6 +144,31 @@ def mean_movie(px: DataFrame, slices: DataFrame) -> DataFrame:
     return px.join(at, "frame_idx").groupBy((F.col("frame_idx") - F.col("start")).alias("rel"), "y", "x").agg(F.avg("v").alias("v"))
 
 
+def camera_trace(px: DataFrame, roi: DataFrame, times: DataFrame) -> DataFrame:
+    """(roi, i, t, v): traces of regions of a side movie with its own timestamps (frame_idx, t)."""
+    return extract(px, roi).join(times.select(F.col("frame_idx").alias("i"), "t"), "i").select("roi", "i", "t", "v")
+
+
+def camera_example(px: DataFrame, times: DataFrame, t0: float, t1: float) -> DataFrame:
+    """(frame_idx, t, y, x, v): frames of a side movie whose timestamps lie in [t0, t1)."""
+    at = times.where((F.col("t") >= t0) & (F.col("t") < t1)).select("frame_idx", "t")
+    return px.join(at, "frame_idx").select("frame_idx", "t", "y", "x", "v")
+
+
+def append(px: DataFrame, more: DataFrame, index: str = "frame_idx") -> DataFrame:
+    """Both movies (or, with index "i", traces), the second one's samples numbered on."""
+    top = px.agg((F.coalesce(F.max(index), F.lit(-1)) + 1).alias("_n"))  # one row
+    return px.unionByName(more.join(top, F.lit(True)).withColumn(index, (F.col(index) + F.col("_n")).cast(px.schema[index].dataType)).drop("_n"))
+
+
+def crop_padded(px: DataFrame, boxes: DataFrame, pad: int) -> DataFrame:
+    """(roi_id, frame_idx, y, x, v): the box (roi_id, y0, y1, x0, x1) of each region in all frames, from its own corner, with a margin; outside the image missing."""
+    cells = boxes.select("roi_id", F.explode(F.sequence(F.col("y0") - pad, F.col("y1") + pad - 1)).alias("y"), "y0", "x0", "x1")
+    cells = cells.select("roi_id", "y", (F.col("y0") - pad).alias("y0"), (F.col("x0") - pad).alias("x0"), F.explode(F.sequence(F.col("x0") - pad, F.col("x1") + pad - 1)).alias("x"))
+    grid = cells.join(px.select("frame_idx").distinct().withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
+    return grid.join(px, ["frame_idx", "y", "x"], "left").select("roi_id", "frame_idx", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")
+
+
 def example_movie(px: DataFrame, total: int, blocks: int = 10, size: int = 100, n: int = 3) -> DataFrame:
     """Means of n frames over the concatenation of `blocks` stretches centred evenly in the movie."""
     spans = []

@@ -120,3 +120,21 @@ def merge_close(rois: DataFrame, groups: DataFrame, limit: float = 20.0) -> Data
     named = named.withColumn("merged", F.col("root").isNotNull()).withColumn("key", F.coalesce("root", "roi_id"))
     order = named.select("merged", "key").distinct().withColumn("new", F.row_number().over(Window.orderBy("merged", "key")) - 1)
     return named.join(order, ["merged", "key"]).select("roi_set", F.col("new").alias("roi_id"), "y", "x").distinct()
+
+
+def process(rois: DataFrame, traces: DataFrame, overlap: float = 0.5, similarity: tuple[float, float] = (0.5, 0.8), distance: float = 20.0) -> DataFrame:
+    """Regions cleaned in two steps: of groups of traces that correlate above the first similarity those that overlap go, then of groups above the second one near ones merge.
+
+    traces: (roi, i, v) of the regions. Regions similar to none stay as they are. Traces of merged regions are not computed anew.
+    """
+    from fluxgrid.operators.correlate import neighbourhoods
+
+    kept = remove_overlaps(rois, neighbourhoods(traces, similarity[0]), overlap)
+    return merge_close(kept, neighbourhoods(traces.join(kept.select(F.col("roi_id").alias("roi")).distinct(), "roi", "left_semi"), similarity[1]), distance)
+
+
+def process_scaled(rois: DataFrame, traces: DataFrame, per_micron: float, borders: tuple[float, float, float, float], least_area: float, distance: float = 10.0, **limits) -> DataFrame:
+    """`process` with lengths in micrometres: regions are first cut to the borders (y0, y1, x0, x1) and need least_area square micrometres."""
+    inside = pare(rois, *borders, least_area * per_micron**2)
+    mine = traces.join(inside.select(F.col("roi_id").alias("roi")).distinct(), "roi", "left_semi")
+    return process(inside, mine, distance=distance * per_micron, **limits)

@@ -380,21 +380,6 @@ def _(spark, sf):
     return roi.add(X.roi_pixels(spark), X.roi_pixels(spark)).selectExpr("CAST(roi_id AS BIGINT) AS roi_id", "CAST(y AS BIGINT) AS y", "CAST(x AS BIGINT) AS x")
 
 
-@query("half_sample_mode", None)
-def _(spark, sf):
-    from fluxgrid.operators import kernels
-
-    return kernels.modes(X.trace_events(spark, sf))
-
-
-@query("transient_tail", None)
-def _(spark, sf):
-    from fluxgrid.operators import kernels
-
-    t = X.trace_events(spark, sf)
-    return traces.tail_metric(t, kernels.modes(t))
-
-
 @query("roi_extract_blocks", "SELECT roi_id AS roi, frame_idx AS i, round(avg(v), 6) + 0.0 AS v FROM p JOIN r USING (y, x) GROUP BY 1, 2", "p=pixels", "r=roi_pixels")
 def _(spark, sf):
     import numpy as np
@@ -416,14 +401,6 @@ def _(spark, sf):
     return rounded(movie.pixels(kernels.apply_shifts(X.frames(spark, sf), X.motion(spark, sf))), "v").selectExpr("frame_idx", "CAST(y AS BIGINT) AS y", "CAST(x AS BIGINT) AS x", "v")
 
 
-@query("motion_shifts", None)
-def _(spark, sf):
-    from fluxgrid.operators import kernels
-
-    f = X.frames(spark, sf)
-    return kernels.motion(f, kernels.template(f, 3), 2, 2)
-
-
 @query("pca_components", None)
 def _(spark, sf):
     from fluxgrid.operators import kernels
@@ -432,22 +409,6 @@ def _(spark, sf):
     return spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(comps)], "comp int, px array<double>")
 
 
-@query("comps_to_roi", None)
-def _(spark, sf):
-    from fluxgrid.operators import kernels
-
-    comps, _ = kernels.pca(X.frames(spark, sf), 4)
-    images = spark.createDataFrame([(k, 8, 8, c.tolist()) for k, c in enumerate(comps)], "comp int, h int, w int, px array<double>")
-    return kernels.component_regions(images, n_std=1, sigma=0.5, area=(2, -1))
-
-
-@query("deconvolve_ar1", None)
-def _(spark, sf):
-    from fluxgrid.operators import kernels
-
-    return kernels.deconvolve(X.trace_events(spark, sf))
-
-
 @query("magic_wand", None)
 def _(spark, sf):
     from fluxgrid.operators import kernels

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+#: Frames of a file that one task writes.
+PART = 4096
+
+
 def read_movie(spark: SparkSession, path: str) -> DataFrame:
     """Frames (frame_idx, file_idx, h, w, px) by suffix: .tif and .tiff files or globs, else Parquet. Video and HDF5 need codecs that are not part of this package."""
     from fluxgrid.sources import tiff
@@ -49,9 +53,10 @@ class Recording:
 
     @classmethod
     def ingest(cls, spark: SparkSession, folder: str, frames: DataFrame, files: DataFrame, **tables: DataFrame) -> Recording:
-        """Writes frames, files and side tables."""
+        """Writes frames, files and side tables. A long file is written by several tasks, PART frames each."""
         out = cls(spark, folder)
-        out.put("frames", frames.repartition("file_idx").sortWithinPartitions("frame_idx"), ["file_idx"])
+        dealt = frames.withColumn("_part", F.floor(F.col("frame_idx") / PART)).repartition("file_idx", "_part").sortWithinPartitions("file_idx", "frame_idx")
+        out.put("frames", dealt.drop("_part"), ["file_idx"])
         out.put("files", files.coalesce(1))
         for name, df in tables.items():
             out.put(name, df)

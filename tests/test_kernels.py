@@ -162,3 +162,43 @@ def test_blocks_equal_long_form(spark):
     b = movie.project(movie.pixels(f), ["y", "x"], F.avg("v")).orderBy("y", "x").toPandas()["v"]
     assert np.allclose(a, b, atol=1e-12)
     assert movie.tiles(8, 8, 2, 0.25) == [(0, 0, 4, 0, 4), (1, 0, 4, 4, 8), (2, 4, 8, 0, 4), (3, 4, 8, 4, 8)]
+
+
+def test_non_negative_factors_of_frames(spark):
+    stack, masks = cells()
+    images, weights = O.nmf(frames_of(spark, stack), 2, rounds=15)
+    assert (images >= 0).all() and weights.where("array_min(w) < 0").isEmpty() and weights.count() == len(stack)
+    assert max(np.corrcoef(images[k], masks[0].ravel())[0, 1] for k in range(2)) > 0.7
+
+
+def test_segment_is_the_composition(spark):
+    stack, masks = cells()
+    px = O.segment(frames_of(spark, stack), 2, chunk=len(stack) // 2, n=2, sigma=1.0).toPandas()
+    assert set(px["roi_set"]) == {0, 1}
+    for m in masks:
+        best = max((m[g["y"], g["x"]].sum() / (m.sum() + len(g) - m[g["y"], g["x"]].sum()) for _, g in px.groupby(["roi_set", "roi_id"])), default=0)
+        assert best > 0.4
+
+
+def test_independent_sources_are_found(spark):
+    rng = np.random.default_rng(3)
+    true = rng.laplace(size=(3000, 3))
+    mixed = true @ rng.normal(size=(3, 3))
+    time = spark.createDataFrame([(x.tolist(),) for x in mixed[200:]], "z array<double>").repartition(3)
+    got = O.independent(mixed[:200], time, np.ones(3), tol=1e-7)
+    match = np.abs(np.corrcoef(got.T, true[:200].T)[:3, 3:])
+    assert (match.max(0) > 0.95).all() and (match.max(1) > 0.95).all()
+
+
+def test_processed_regions_in_micrometres(spark):
+    from fluxgrid.operators import roi
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=200)
+    rows = [(0, k, y, x) for k, (y0, x0, n) in enumerate([(2, 2, 6), (3, 3, 3), (2, 9, 5), (20, 20, 4), (0, 30, 2)]) for y in range(y0, y0 + n) for x in range(x0, x0 + n)]
+    values = {0: base, 1: base + 0.01 * rng.normal(size=200), 2: base + 0.1 * rng.normal(size=200), 3: rng.normal(size=200), 4: base}
+    t = spark.createDataFrame([(k, i, float(v)) for k, x in values.items() for i, v in enumerate(x)], "roi int, i long, v double")
+    rois = spark.createDataFrame(rows, "roi_set int, roi_id int, y int, x int")
+    got = roi.process_scaled(rois, t, 2.0, (1, 40, 1, 40), 1.5, distance=2.5).toPandas()
+    sizes = sorted(len(g) for _, g in got.groupby("roi_id"))
+    assert sizes == [16, 36 + 25]  # the inner copy and the region at the border are gone, two near similar ones are one
