@@ -1,30 +1,35 @@
 """Operator 5: removal of long repeated word sequences by recompression.
 
-Recompression replaces, round by round, runs of equal symbols and then pairs of
-adjacent symbols (a left one and a right one; a hash of a symbol's name and of
-the round says which it is) by one symbol. A symbol's name is a 64-bit hash of
-its parts' names, so naming is global without a dictionary: equal word
-sequences get equal names in every task. Symbols stay short by rule (runs of
-exactly two words; then two rounds of pairs: at most 8 words), so each step
-can disturb a window only near its borders: in two equal windows of W words the
-parse agrees on words 8 to W - 9 (the `margin` on each side), which hold a whole
-symbol if W >= 31. The best symbol there (longest, then by hash) is the
-window's anchor; equal windows have equal anchors.
-
-1. `parse`: one pass; each text's anchors (about one to ten words), word count, digests.
-2. Anchors that occur twice or more are found by an aggregation and joined back
-   (a join that adaptive execution can split on hot anchors). Exact copies of a
+Recompression replaces, level by level, first every maximal run of one symbol
+(of any length) and then every pair of adjacent symbols (a left one and a right
+one; a hash of a symbol's name and of the level says which it is) by one symbol.
+A symbol's name is a 64-bit hash of its parts' names: equal word sequences get
+equal names in every task, so a level needs no dictionary and no exchange; what
+the Spark rounds below settle over the whole table is which names are shared.
+
+In a window, the first and the last run of a level may go on outside it, and so
+may a pair at its first or last symbol: these few are popped, level by level.
+What is left inside are whole symbols, the same ones wherever the window's words
+stand. So a window is, whatever surrounds it, the sequence of its pops and of its
+interior symbols; the name of that sequence is the window's own symbol. Its core is
+the longest interior symbol (of several, by hash); a window that pops leave
+nothing of (within a run, say) is its own core.
+
+1. `parse`: one pass; each text's cores (about one to fifteen words), word count, digests.
+2. First round: cores that occur twice or more, by an aggregation, joined back
+   (a join that adaptive execution can split on hot cores). Exact copies of a
    text are represented by one of them: all their windows are repeated.
-3. Texts with shared anchors emit the hashes of the windows at those anchors,
-   packed by anchor; each map chunk combines first, so that a passage that a
-   third of all texts hold is one entry a chunk. Windows whose hash occurs twice
-   are repeated: verification.
+3. Second round: texts with shared cores emit the symbols of the windows at
+   those cores, packed by core; each map chunk combines first, so that a passage
+   that a third of all texts hold is one entry a chunk. Windows whose symbol occurs
+   twice are repeated: symbols name all of a window's words, so this verifies.
 4. Words covered by a repeated window are removed.
 
 Windows are judged on the input. Null texts have no words; texts of fewer than
-W words lose none. Null and repeated ids are rows like others (a text that
-occurs in two rows repeats). An empty table gives no row. Columns other than
-key and text are not read.
+W words lose none. Very long texts are parsed whole, each alone in its chunk. Null
+and repeated ids are rows like others (a text that occurs in two rows repeats).
+An empty table gives no row. Columns other than key and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgrid.llm.shared import map_arrow, materialise, text_chunks
-from fluxgrid.llm.textops import Words, mix, windows, words
+from fluxgrid.llm.textops import Words, mix, powers, words
 
 WINDOW = 35
 U = np.uint64
@@ -47,68 +52,108 @@ _NAME = (U(0x8CB92BA72F3D8DD7), U(0xF1357AEA2E62A9C5))
 _PARSED = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("seq", pa.int64()), ("kept_sha256", pa.string()), ("anchors", pa.list_(pa.int64()))])
 
 
-def rounds_for(window: int) -> tuple[int, int]:
-    """(rounds of pairs, margin) for windows of so many words: the most rounds that leave a whole symbol between the margins."""
-    if window < 7:
-        raise ValueError("windows have 7 words at least")
-    best = 0
-    while 2 * (2 + sum(2 << i for i in range(best + 1))) + 2 * (2 << (best + 1)) - 1 <= window:
-        best += 1
-    return best, 2 + sum(2 << i for i in range(best))
+def levels_for(window: int) -> int:
+    """Levels after which a window of so many words still holds about four symbols: one less three pops, of which 72 % stay, a level."""
+    if window < 1:
+        raise ValueError("a window has a word at least")
+    levels, left = 0, (window - 3) * 0.72
+    while left >= 4:
+        levels, left = levels + 1, (left - 3) * 0.72
+    return levels
 
 
 @dataclass
 class Symbols:
+    """Symbols of a level: name, first and past-the-end word, text."""
+
     name: np.ndarray
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
 
-    def merged(self, first: np.ndarray, salt: int) -> Symbols:
-        """Each symbol at `first` joined with the next one."""
-        name, end = self.name.copy(), self.end.copy()
-        at = np.flatnonzero(first)
-        name[at] = mix(name[at] * _NAME[0] + name[at + 1] * _NAME[1] + U(salt))
-        end[at] = end[at + 1]
-        keep = np.ones(len(name), bool)
-        keep[at + 1] = False
-        return Symbols(name[keep], self.start[keep], end[keep], self.doc[keep])
+
+def name_runs(s: Symbols, level: int) -> tuple[Symbols, np.ndarray, np.ndarray]:
+    """The symbols with every maximal run as one, the run of each symbol, and the bounds of the runs (one more than runs)."""
+    new = np.ones(len(s.name), bool)
+    new[1:] = (s.name[1:] != s.name[:-1]) | (s.doc[1:] != s.doc[:-1])
+    at = np.flatnonzero(new)
+    bounds = np.append(at, len(new))
+    size, name = np.diff(bounds), s.name[at]
+    many = size > 1
+    name[many] = mix(name[many] * _NAME[0] + size[many].astype(U) * _NAME[1] + U(2 * level + 1))
+    return Symbols(name, s.start[at], s.end[bounds[1:] - 1], s.doc[at]), np.cumsum(new) - 1, bounds
+
+
+def is_left(name: np.ndarray, level: int) -> np.ndarray:
+    return (mix(name ^ U(0xABC98388FB8FAC03 + level)) & U(1)).astype(bool)
+
+
+def name_pairs(s: Symbols, left: np.ndarray, level: int) -> tuple[Symbols, np.ndarray]:
+    """The symbols with every left and right one that meet as one, and the new symbol of each."""
+    first = np.zeros(len(left), bool)
+    first[:-1] = left[:-1] & ~left[1:] & (s.doc[:-1] == s.doc[1:])
+    name, end, at = s.name.copy(), s.end.copy(), np.flatnonzero(first)
+    name[at] = mix(name[at] * _NAME[0] + name[at + 1] * _NAME[1] + U(2 * level + 2))
+    end[at] = end[at + 1]
+    keep = np.ones(len(left), bool)
+    keep[at + 1] = False
+    return Symbols(name[keep], s.start[keep], end[keep], s.doc[keep]), np.cumsum(keep) - 1
+
+
+def _pop(h: np.ndarray, name: np.ndarray, many: np.ndarray | int, kind: int) -> np.ndarray:
+    """What a side has popped, with `many` symbols of a name more; kind tells runs from halves of pairs."""
+    return mix(h * U(0xD1342543DE82EF95) + name * _NAME[kind] + np.asarray(many).astype(U))
 
 
-def recompress(w: Words, rounds: int) -> Symbols:
-    """The symbols of a chunk of texts after naming runs of two words and `rounds` rounds of pairs."""
+def cores(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol of each window, its first word, its core) and (name, text) of everything that may be a core."""
     at = np.arange(len(w.hash))
-    s = Symbols(w.hash, at, at + 1, w.doc)
-    if len(at) > 1:
-        same = np.zeros(len(at) + 1, bool)  # same[i + 1]: symbols i and i + 1 are equal
-        same[1:-1] = (s.name[1:] == s.name[:-1]) & (s.doc[1:] == s.doc[:-1])
-        s = s.merged((same[1:] & ~same[:-1] & ~np.append(same[2:], False)), 1)
-    for r in range(rounds):
-        left = (mix(s.name ^ U(0xABC98388FB8FAC03 + r)) & U(1)).astype(bool)
-        pair = np.zeros(len(left), bool)
-        pair[:-1] = left[:-1] & ~left[1:] & (s.doc[:-1] == s.doc[1:])
-        s = s.merged(pair, 2 + r)
-    return s
-
-
-def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each window, its first word, its anchor; rank of every symbol): an anchor is the best rank between the margins."""
-    rounds, margin = rounds_for(window)
-    s = recompress(w, rounds)
-    rank = ((s.end - s.start).astype(U) << U(56)) | (mix(s.name) >> U(8))
-    h, p = windows(w.hash, w.doc, window)
+    s, n = Symbols(w.hash, at, at + 1, w.doc), len(w.hash) - window + 1
+    p = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
     if not len(p):
-        return h, p, np.zeros(0, U), rank
-    lo = np.searchsorted(s.start, p + margin, "left")
-    hi = np.searchsorted(s.end, p + window - margin, "right")
-    level = np.floor(np.log2(hi - lo)).astype(np.int64)
-    out, best = np.zeros(len(p), U), rank
-    for k in range(int(level.max()) + 1):  # best: the highest rank of 2**k symbols from each on
-        at = np.flatnonzero(level == k)
-        out[at] = np.maximum(best[lo[at]], best[hi[at] - (1 << k)])
-        step = 1 << k
-        best = np.maximum(best[: len(best) - step], best[step:]) if len(best) > step else best
-    return h, p, out, rank
+        return np.zeros(0, U), p, np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+    lo, hi, before, after = p.copy(), p + window, np.zeros(len(p), U), np.zeros(len(p), U)
+    for level in range(levels_for(window)):
+        here = np.flatnonzero(lo < hi)
+        runs, run, bounds = name_runs(s, level)
+        a, b = lo[here], hi[here]
+        cut = np.minimum(bounds[run[a] + 1], b)
+        before[here] = _pop(before[here], s.name[a], cut - a, 0)
+        here, a, b = here[cut < b], cut[cut < b], b[cut < b]
+        lo[:], hi[:], done = 0, 0, len(here) == 0
+        back = np.maximum(bounds[run[b - 1]], a)
+        after[here] = _pop(after[here], s.name[b - 1], b - back, 0)
+        ok = a < back
+        here, a, b = here[ok], run[a[ok]], run[back[ok] - 1] + 1
+        left = is_left(runs.name, level)
+        out = ~left[a]  # a right symbol in front may belong to a pair with what is before it
+        before[here[out]] = _pop(before[here[out]], runs.name[a[out]], 1, 1)
+        a = a + out
+        here, a, b = here[a < b], a[a < b], b[a < b]
+        out = left[b - 1]
+        after[here[out]] = _pop(after[here[out]], runs.name[b[out] - 1], 1, 1)
+        b = b - out
+        here, a, b = here[a < b], a[a < b], b[a < b]
+        s, new = name_pairs(runs, left, level)
+        lo[here], hi[here] = new[a], new[b - 1] + 1
+        if done:
+            break
+    up, down = powers(len(s.name) + 1)
+    total = np.concatenate([np.zeros(1, U), np.cumsum(s.name * up[: len(s.name)])])
+    inside = mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(U))
+    symbol = mix(before * _NAME[0] + after * _NAME[1] + inside)
+    rank = ((s.end - s.start).clip(max=255).astype(U) << U(56)) | (mix(s.name) >> U(8))
+    core, held = symbol.copy(), np.flatnonzero(lo < hi)
+    if len(held):
+        a, b, best = lo[held], hi[held], rank
+        depth = np.floor(np.log2(b - a)).astype(np.int64)
+        for k in range(int(depth.max()) + 1):  # best: the highest rank of 2**k symbols from each on
+            mine = np.flatnonzero(depth == k)
+            core[held[mine]] = np.maximum(best[a[mine]], best[b[mine] - (1 << k)])
+            step = 1 << k
+            best = np.maximum(best[: len(best) - step], best[step:]) if len(best) > step else best
+    alone = np.flatnonzero(lo >= hi)
+    return symbol, p, core, np.concatenate([rank, symbol[alone]]), np.concatenate([s.doc, w.doc[p[alone]]])
 
 
 def _digest(w: Words) -> np.ndarray:
@@ -120,16 +165,15 @@ def _digest(w: Words) -> np.ndarray:
 
 
 def parse(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(id, n_words, seq, kept_sha256 of all words, anchors) of every row; an anchor that occurs again in its text is listed twice."""
+    """(id, n_words, seq, kept_sha256 of all words, anchors) of every row: the cores; one that may occur again in its text is listed twice."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, texts in text_chunks(batch.column(1)):
             w = words(texts)
-            _, p, anchor, rank = anchors(w, window)
+            _, p, anchor, names, where = cores(w, window)
             of = mix(np.arange(len(texts), dtype=U) + U(1))
-            s = recompress(w, rounds_for(window)[0])
             chosen, at = np.unique(anchor ^ of[w.doc[p]], return_index=True)
-            own = np.sort(rank ^ of[s.doc])
+            own = np.sort(names ^ of[where])
             many = np.searchsorted(own, chosen, "right") - np.searchsorted(own, chosen, "left")
             order = np.argsort(w.doc[p[at]], kind="stable")
             twice = np.repeat(order, np.minimum(many[order], 2))
@@ -150,7 +194,7 @@ def repeated_windows(marked: DataFrame, window: int) -> DataFrame:
         for lo, texts in text_chunks(batch.column(2)):
             seqs, shared = batch.column(0).slice(lo, len(texts)).to_numpy(), batch.column(1).slice(lo, len(texts))
             w = words(texts)
-            h, p, anchor, _ = anchors(w, window)
+            h, p, anchor, _, _ = cores(w, window)
             of = mix(np.arange(len(texts), dtype=U) + U(1))
             sizes = pa.compute.list_value_length(shared).to_numpy()
             listed = shared.flatten().to_numpy().view(U) ^ np.repeat(of, sizes)

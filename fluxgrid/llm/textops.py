@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE to the powers 0..n-1 and its inverse's, modulo 2**64."""
     if len(_POWERS["up"]) < n:
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -69,7 +69,7 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     doc_starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(texts) else np.zeros(0, np.int64)
     doc = np.searchsorted(doc_starts, starts, "right") - 1
-    up, down = _powers(len(buf) + 1)
+    up, down = powers(len(buf) + 1)
     total = np.empty(len(buf) + 1, U)
     total[0] = 0
     np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=total[1:])
@@ -89,7 +89,7 @@ def windows(h: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.n
         for j in range(size):
             g += h[j : j + n] * _STEPS[j]
         return mix(g[at]), at
-    up, down = _powers(len(h) + 1)
+    up, down = powers(len(h) + 1)
     total = np.concatenate([np.zeros(1, U), np.cumsum(h * up[: len(h)])])
     return mix((total[size:] - total[:-size])[at] * down[at]), at
 

@@ -396,6 +396,14 @@ def test_removal_equals_brute_force(spark, window):
     assert sorted(map(tuple, got), key=str) == removed(rows, window)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_removal_of_all_documents(spark, sf):
+    at = SF.replace("sf0.001", sf)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{at}/documents.parquet").collect()]
+    got = substrings.op5_recompression_dedup(spark, at).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == removed(rows, 35)
+
+
 def test_removal_of_odd_rows(spark):
     df = odd(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.where("coalesce(doc_id, 0) <> 5").collect()]
@@ -404,7 +412,37 @@ def test_removal_of_odd_rows(spark):
     assert [g[1:3] for g in got if g[0] == 5] == [(60_000, 60_000)]
     assert substrings.remove_repeats(empty(spark)).count() == 0
     with pytest.raises(ValueError):
-        substrings.rounds_for(5)
+        substrings.levels_for(0)
+
+
+def test_windows_are_named_by_their_words_alone():
+    """Equal windows have one symbol and one core whatever surrounds them, unequal ones differ; runs and periods of any length included."""
+    r = random.Random(9)
+    for vocabulary, window in ((2, 9), (3, 20), (40, 35), (40, 64)):
+        base = [f"w{r.randint(0, vocabulary)}" for _ in range(120)] + ["z"] * 90 + ["a", "b"] * 40 + ["a", "b", "c"] * 30
+        texts = [" ".join([f"x{r.randint(0, vocabulary)}" for _ in range(r.randint(0, 9))] + base[k:] + base[:k]).encode() for k in (0, 3, 50, 130, 260)]
+        w = substrings.words(texts)
+        symbol, p, core, names, _ = substrings.cores(w, window)
+        spelt = [tuple(w.hash[i : i + window].tolist()) for i in p]
+        assert len(set(zip(spelt, symbol.tolist()))) == len(set(spelt)) == len(set(symbol.tolist()))
+        assert len(set(zip(spelt, core.tolist()))) == len(set(spelt)) and set(core.tolist()) <= set(names.tolist())
+        assert len(set(core.tolist())) < len(set(spelt))  # windows side by side share a core
+
+
+@pytest.mark.parametrize("broken", ["name_pairs", "name_runs"])
+def test_repeats_need_the_symbols(monkeypatch, broken):
+    """Where symbols are named by their place and not by their parts, equal windows no longer meet."""
+    w = substrings.words([" ".join(["u"] * k + [f"w{i % 50}" for i in range(60)] + ["y", "y", "y", "v"] * 12).encode() for k in (1, 2)])
+    meet = lambda: len(np.intersect1d(*(x[0][w.doc[x[1]] == d] for x in (substrings.cores(w, 35),) for d in (0, 1))))
+    plain, whole = getattr(substrings, broken), meet()
+
+    def placed(*args):
+        out = plain(*args)
+        out[0].name[:] = out[0].name ^ out[0].start.astype(np.uint64)
+        return out
+
+    monkeypatch.setattr(substrings, broken, placed)
+    assert whole > 30 and meet() == 0
 
 
 # --- 6: languages
