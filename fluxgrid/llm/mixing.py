@@ -14,7 +14,8 @@ undecided, and those go to the next, some hundred times smaller level until
 one group per source is left, which lands at its own level, however many the
 other sources need. Sources' targets are found in one
 pass over the per-source totals (one row a source). Only ids and sizes are
-shuffled. All choices follow from hashes of the rows, so reruns agree.
+shuffled. All choices follow from hashes of the rows, so reruns agree; only rows that repeat
+wholly, more often than a block, are told apart by their place in the input.
 
 Columns named size, source_size, target or copies are replaced; other columns
 pass through. Null sources form a source of their own, last in order. Null or empty texts
@@ -62,6 +63,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return per.withColumn("at", level).select("source", "source_size", "n_docs", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", -F.col("at.less") * F.col("w"))).alias("target"))
 
 
+def null_vector(rows: np.ndarray) -> np.ndarray:
+    """Weights of k + 1 rows of k numbers that sum to 0 in each column: for two columns the cross product of them."""
+    if rows.shape == (3, 2):
+        (a, b, c), (d, e, f) = rows[:, 0], rows[:, 1]
+        v = np.array([b * f - c * e, c * d - a * f, a * e - b * d])
+        most = np.abs(v).max()
+        if most > 1e-9 * np.abs(rows[:, 0]).max() * np.abs(rows[:, 1]).max():
+            return v / most
+    return np.linalg.svd(rows.T)[2][-1]
+
+
 def flight(p: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Moves probabilities p until at most x.shape[1] stay fractional, keeping the sums of p and of p * x's columns.
 
@@ -75,8 +87,7 @@ def flight(p: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
             continue
         window.append(i)
         while len(window) > k:
-            _, s, vt = np.linalg.svd(x[window].T)
-            v = vt[-1]
+            v = null_vector(x[window])
             up = down = np.inf
             for j, vj in zip(window, v):
                 if vj > 1e-12:
@@ -104,7 +115,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 def mix(df: DataFrame, source: str, size, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 2048) -> DataFrame:
     """df with columns size, source_size, target and copies (how often the mix takes the row). size: a column expression."""
     own = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
-    rows = materialise(df.select(*own, size.alias("size")), "mix-rows")
+    rows = materialise(df.select(*own, size.alias("size")).withColumn("__mix_row", F.monotonically_increasing_id()), "mix-rows")
     per = materialise(source_targets(rows.select(F.col(source).alias("source"), "size"), weights, share, most), "mix-targets")
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block)).cast("long")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -112,6 +123,10 @@ def mix(df: DataFrame, source: str, size, weights: tuple[float, ...] = WEIGHTS,
     state = rows.join(narrow, F.col(source).eqNullSafe(F.col("__mix_s")), "left").drop("__mix_s")
     draw = F.xxhash64(*[F.col(c) for c in own], "size")
     state = state.withColumn("__mix_whole", F.floor(F.col("__mix_ratio") + 1e-12).cast("long")).withColumn("__mix_h", draw)
+    hot = state.groupBy("__mix_h").agg(F.count("*").alias("__mix_n")).where(F.col("__mix_n") > block).select(F.col("__mix_h").alias("__mix_hot"))
+    state = state.join(hot, F.col("__mix_h") == F.col("__mix_hot"), "left")  # rows that repeat more than a block are dealt by their place
+    salted = F.when(F.col("__mix_hot").isNotNull(), F.xxhash64("__mix_h", "__mix_row")).otherwise(F.col("__mix_h"))
+    state = state.withColumn("__mix_h", salted).drop("__mix_hot", "__mix_row")
     state = state.withColumn("__mix_p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("__mix_ratio") - F.col("__mix_whole"))).otherwise(F.lit(0.0)))
     done, level = [], 0
     while True:

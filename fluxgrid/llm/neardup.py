@@ -53,7 +53,7 @@ PART = 128
 #: Classes that a shingle may have before it counts as common.
 COMMON = 64
 #: Classes in a block of a common shingle's tree, about.
-BLOCK = 4096
+BLOCK = 2048
 U = np.uint64
 
 
@@ -282,27 +282,37 @@ def candidates(part: DataFrame) -> DataFrame:
     return rare.unionByName(common).distinct()
 
 
-def _near_points(t: pa.Table) -> pa.Table:
+def _near_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components whose points allow a link: blocks i and j of a shingle's classes (within one block if i = j).
 
-    A pair that also meets at a shingle before this one is left to that one.
+    A pair that also meets at a shingle before this one is left to that one. Pairs leave as they are found, so a cell holds
+    its two blocks at most, however many pairs they make.
     """
+    t = pa.Table.from_batches(list(batches))
     cls, root, n, cut = (t[c].to_numpy() for c in ("class", "root", "n", "cut"))
     points = np.stack(t["point"].to_pylist()).astype(np.int64)
     before = [frozenset(x) for x in t["before"].to_pylist()]
     here = np.flatnonzero(cut == t["i"][0].as_py())
     there = here if t["i"][0].as_py() == t["j"][0].as_py() else np.flatnonzero(cut == t["j"][0].as_py())
-    out_a, out_b = [], []
-    if len(here) and len(there):
-        tree = Tree(points[there], n[there])
-        for i in here:
-            at = there[tree.query(points[i], n[i])[0]]
-            at = at[(root[at] != root[i]) & ((cls[at] < cls[i]) | (there is not here))]
-            at = at[[before[i].isdisjoint(before[j]) for j in at]] if len(at) else at
-            out_a.append(np.minimum(cls[at], cls[i]))
-            out_b.append(np.maximum(cls[at], cls[i]))
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.table([join(out_a), join(out_b)], names=["a", "b"])
+    if not len(here) or not len(there):
+        return
+    tree, found, held = Tree(points[there], n[there]), [], 0
+    for i in here:
+        at = there[tree.query(points[i], n[i])[0]]
+        at = at[(root[at] != root[i]) & ((cls[at] < cls[i]) | (there is not here))]
+        at = at[[before[i].isdisjoint(before[j]) for j in at]] if len(at) else at
+        found.append(np.stack([np.minimum(cls[at], cls[i]), np.maximum(cls[at], cls[i])]))
+        held += len(at)
+        if held >= 1 << 16:
+            yield _pairs(found)
+            found, held = [], 0
+    if held:
+        yield _pairs(found)
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.concatenate(found, 1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
 
 
 def complete(part: DataFrame, sets: DataFrame) -> DataFrame | None:

@@ -68,6 +68,15 @@ class Texts:
         b = self.w.buf
         return self._once("n_letters", lambda: self._per_text((((b | 32) >= 97) & ((b | 32) <= 122)) & (b < 128) | (b >= 0xC0)))
 
+    @property
+    def n_wide(self) -> np.ndarray:
+        """Code points of three or more bytes, as in scripts that are written without blanks."""
+        return self._once("n_wide", lambda: self._per_text(self.w.buf >= 0xE0))
+
+    @property
+    def word_bytes(self) -> np.ndarray:
+        return np.bincount(self.w.doc, self.w.ends - self.w.starts, len(self.texts)).astype(np.int64)
+
     @property
     def n_dup_lines(self) -> np.ndarray:
         def count() -> np.ndarray:
@@ -119,12 +128,12 @@ BASE_RULES: dict[str, Callable[[Texts], np.ndarray]] = {
     "few_words": lambda t: t.n_words < 50,
     "repeated_trigrams": lambda t: 100 * t.n_repeat_words > 50 * t.n_words,
 }
-#: All rules; True rejects. Thresholds are wide, so that ordinary prose stays.
+#: All rules; True rejects. Thresholds are wide, so that ordinary prose stays, in scripts without blanks and beside one encoded blob too.
 RULES: dict[str, Callable[[Texts], np.ndarray]] = BASE_RULES | {
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
-    "word_length": lambda t: (t.word_chars > 15 * t.n_words) | (t.word_chars < 2 * t.n_words),
+    "word_length": lambda t: ((t.word_chars > 15 * t.n_words) & (2 * t.n_wide <= t.word_chars) & (2 * t.longest_word <= t.word_bytes)) | (t.word_chars < 2 * t.n_words),
     "few_letters": lambda t: 10 * t.n_letters < 6 * t.word_chars,
-    "endless_word": lambda t: t.longest_word > 1000,
+    "endless_word": lambda t: (t.longest_word > 1000) & (2 * t.longest_word > t.word_bytes) & (2 * t.n_wide <= t.word_chars),
     "few_distinct": lambda t: 20 * t.distinct_words < np.minimum(t.n_words, 2000),
 }
 

@@ -83,6 +83,7 @@ def test_near_duplicates(spark, monkeypatch, part, common):
         rows.append((3 * i + 1, " ".join(w)))
     monkeypatch.setattr(neardup, "PART", part)
     monkeypatch.setattr(neardup, "COMMON", common)
+    monkeypatch.setattr(neardup, "BLOCK", 2048 if common > 1 else 8)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_of(rows)
 
@@ -359,6 +360,20 @@ def test_small_sources_land_beside_large_ones(spark):
     assert {g["source"] for g in got if abs(g["taken"] - g["target"]) > 2} <= {"a"}
 
 
+def test_mix_spreads_repeated_rows(spark):
+    rows = [(1, "a", 10)] * 900 + [(i, "a" if i % 2 else "b", 1 + i % 40) for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long").repartition(4)
+    got = mixing.mix(df, "source", F.col("n"), block=64).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("k"), F.first("target").alias("t"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == len(rows) and all(abs(r["k"] - r["t"]) < 0.02 * r["t"] + 5 for r in got)
+
+
+def test_null_vector():
+    rng = np.random.default_rng(5)
+    for rows in [rng.normal(size=(3, 2)) for _ in range(50)] + [np.ones((3, 2)), np.array([[1.0, 2], [1, 2], [1, 5]]), rng.normal(size=(4, 3))]:
+        v = mixing.null_vector(rows)
+        assert np.abs(v).max() > 0.1 and np.abs(v @ rows).max() < 1e-9
+
+
 # --- 5: repeated passages
 
 
@@ -554,9 +569,16 @@ def test_order_never_changes_the_verdict(documents):
         assert (quality.cascade(t, names) == want).all()
 
 
+def test_quality_keeps_scripts_without_blanks_and_blobs():
+    prose = " ".join(f"word{i} and text{i}" for i in range(300))
+    texts = ["".join(chr(0x4E00 + (7 * i * i + k) % 5000) for k in range(40)) for i in range(60)]
+    kept = quality.cascade(quality.Texts([" ".join(texts).encode(), (prose + " data:" + "Ab3+" * 400).encode(), prose.encode(), ("x" * 9000 + " " + prose).encode()]), list(quality.RULES))
+    assert kept.tolist() == [True, True, True, False]
+
+
 def test_quality_of_odd_rows(spark):
     df = odd(spark)
-    assert quality.quality(df.drop("key"), "text", "doc_id").where("n_words = 0 and base_failed and not kept").count() == 4
+    assert quality.quality(df, "text", "doc_id").where("n_words = 0 and base_failed and not kept").count() == 4
     assert quality.filter_quality(df).columns == df.columns
     assert quality.quality(empty(spark), "text", "doc_id").count() == 0
 
