@@ -2,9 +2,9 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); a stage reads what the
 stage before it wrote. All but the last return the columns of documents. Null
-ids and repeated rows pass like others. Near duplicates are told apart by id
-and text: rows that repeat both count as one document of their group and stay
-together, but of rows without an id a group keeps one at most.
+ids and repeated rows pass like others. Near duplicates are told apart by row:
+whatever ids repeat or lack, a group of near copies keeps one row. Documents
+without words are copies of nothing.
 """
 
 from __future__ import annotations
@@ -23,17 +23,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component, one without an id only where none has one."""
+    """One row of each near-duplicate component: of the smallest id (none last), of rows that repeat id and text one. Rows without words all stay."""
     rows = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    found = neardup.near_duplicates(rows.select("_k", "text"), "_k", "text").withColumnRenamed("id", "_k").distinct()
+    found = neardup.near_duplicates(rows.select("_k", "text"), "_k", "text")
+    found = found.groupBy(F.col("id").alias("_k")).agg(F.min("component_id").alias("component_id"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
     ids = rows.select("_k", "doc_id").distinct()
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k")).alias("first")
-    keep = found.join(ids, "_k").groupBy("component_id").agg(least, F.max("n_shingles").alias("n"))
-    keep = materialise(keep.select("first._k", (F.col("first.none") & F.coalesce(F.col("n") > 0, F.lit(False))).alias("single")), "keep")
-    kept = rows.join(keep.where("NOT single").select("_k"), "_k", "left_semi").select(*docs.columns)
-    single = rows.where("doc_id IS NULL").join(keep.where("single").select("_k"), "_k", "left_semi")
-    single = single.groupBy("_k").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.unionByName(single)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "rows")).alias("first")
+    keep = found.join(ids, "_k").groupBy("component_id").agg(least, F.max("n").alias("n"))
+    keep = materialise(keep.select("first._k", ((F.col("first.rows") > 1) & (F.col("n") > 0)).alias("repeated")), "keep")
+    kept = rows.join(keep.where("NOT repeated").select("_k"), "_k", "left_semi").select(*docs.columns)
+    one = rows.join(keep.where("repeated").select("_k"), "_k", "left_semi")
+    one = one.groupBy("_k").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.unionByName(one)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ STAGES = [
     ("source_mixing", source_mixing),
     ("best_fit_packing", best_fit_packing),
 ]
-#: Shingle components, models and packing have no SQL; tests hold each stage against a brute-force version.
+#: Shingle components, models and packing have no SQL; tests hold the stages against versions in plain Python.
 ORACLE_SQL = None
 
 
