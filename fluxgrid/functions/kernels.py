@@ -263,3 +263,56 @@ def ar_coefficients(y: np.ndarray, p: int, sn: float, lags: int = 5, fudge: floa
     roots = np.roots(np.concatenate([[1], -g])).real
     roots = np.where(roots > 1, 0.95, np.where(roots < 0, 0.15, roots)) * fudge
     return -np.poly(roots)[1:]
+
+
+def contour(mask: np.ndarray) -> np.ndarray:
+    """Border pixels (y, x) of the region that holds the mask's first pixel, in the order of a walk around it, clockwise, each step to a neighbour.
+
+    The walk leaves a pixel for the first region pixel that a turn around it meets, beginning behind the way it came,
+    until it would repeat its first step.
+    """
+    ring = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]  # clockwise from the left
+    inside = np.pad(mask.astype(bool), 1)
+    if not inside.any():
+        return np.zeros((0, 2), int)
+    start = tuple(int(v[0]) for v in np.nonzero(inside))
+    out, here, came, first = [start], start, 0, None
+    while True:
+        turn = next((k % 8 for k in range(came, came + 8) if inside[here[0] + ring[k % 8][0], here[1] + ring[k % 8][1]]), None)
+        if turn is None or (here, turn) == first:
+            break
+        first = first or (here, turn)
+        here = (here[0] + ring[turn][0], here[1] + ring[turn][1])
+        out.append(here)
+        came = (turn + 6) % 8 if turn % 2 == 0 else (turn + 5) % 8
+    walk = np.array(out) - 1
+    return walk[:-1] if len(walk) > 1 and (walk[0] == walk[-1]).all() else walk
+
+
+def equalize(image: np.ndarray, tiles: int = 8, clip: float = 2.0, bins: int = 256) -> np.ndarray:
+    """Contrast-limited adaptive histogram equalisation of an image in 0..1.
+
+    Each tile's histogram is cut at clip times its mean and the excess spread evenly; a pixel takes the value that the
+    mappings of the four nearest tiles give it, weighted by distance.
+    """
+    h, w = image.shape
+    ys, xs = (np.linspace(0, n, min(tiles, n) + 1).astype(int) for n in (h, w))
+    level = np.clip((image * bins).astype(int), 0, bins - 1)
+    maps = np.zeros((len(ys) - 1, len(xs) - 1, bins))
+    for i in range(len(ys) - 1):
+        for j in range(len(xs) - 1):
+            count = np.bincount(level[ys[i] : ys[i + 1], xs[j] : xs[j + 1]].ravel(), minlength=bins).astype(float)
+            most = max(1.0, clip * count.sum() / bins)
+            count = np.minimum(count, most) + np.maximum(count - most, 0).sum() / bins
+            maps[i, j] = count.cumsum() / count.sum()
+
+    def between(edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mid = (edges[1:] + edges[:-1] - 1) / 2
+        at = np.interp(np.arange(n), mid, np.arange(len(mid)))
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, len(mid) - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = between(ys, h), between(xs, w)
+    fy, fx = fy[:, None], fx[None, :]
+    g = lambda a, b: maps[a[:, None], b[None, :], level]
+    return (1 - fy) * ((1 - fx) * g(y0, x0) + fx * g(y0, x1)) + fy * ((1 - fx) * g(y1, x0) + fx * g(y1, x1))

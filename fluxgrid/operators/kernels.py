@@ -135,10 +135,11 @@ def motion_by_chunk(frames: DataFrame, chunk: str, my: int, mx: int, iterations:
     return local.join(g, "chunk").select("frame_idx", "chunk", (F.col("x_local") + F.col("gx")).alias("x"), (F.col("y_local") + F.col("gy")).alias("y"), "metric", "x_local", "y_local")
 
 
-def pca(frames: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def pca(frames: DataFrame, k: int, samples: str = "frames") -> tuple[np.ndarray, np.ndarray]:
     """(components, mean): the k leading directions of the frames (k rows of pixels), by partial Gram matrices of the pixels.
 
     The matrix has pixels^2 cells, so resize frames first; tasks send one partial matrix each to a few tasks that add them up.
+    samples "pixels" takes pixels as samples: each frame is centred by its own mean, and mean is 0.
     """
     schema = pa.schema([("n", pa.int64()), ("s", pa.list_(pa.float64())), ("g", pa.list_(pa.float64()))])
 
@@ -147,6 +148,7 @@ def pca(frames: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             if b.num_rows:
                 m = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                m = m - m.mean(1, keepdims=True) if samples == "pixels" else m
                 n, s, g = n + len(m), s + m.sum(0), g + m.T @ m
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s], pa.list_(pa.float64())), pa.array([g.ravel()], pa.list_(pa.float64()))], schema=schema)
@@ -165,15 +167,15 @@ def pca(frames: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         n, s, g = n + r["n"], s + np.array(r["s"]), g + np.array(r["g"])
     if not n:
         raise ValueError("no frames")
-    mean = s / n
+    mean = s / n if samples == "frames" else np.zeros(len(s))
     cov = g.reshape(len(mean), -1) / n - np.outer(mean, mean)
     values, vectors = np.linalg.eigh(cov)
     return vectors[:, ::-1][:, :k].T, mean
 
 
-def pca_ica(frames: DataFrame, k: int, mu: float = 0.5, ica: bool = True) -> np.ndarray:
+def pca_ica(frames: DataFrame, k: int, mu: float = 0.5, ica: bool = True, samples: str = "frames") -> np.ndarray:
     """Component images (k rows): principal ones, or independent ones of the joint space-time matrix weighted mu and 1 - mu."""
-    comps, mean = pca(frames, k)
+    comps, mean = pca(frames, k, samples)
     if not ica:
         return comps
     shared = frames.sparkSession.sparkContext.broadcast((comps, mean))  # k images
@@ -318,6 +320,32 @@ def segment(frames: DataFrame, k: int, chunk: int = 3000, n: int = 3, factor: fl
     return out
 
 
+def equalized(image: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
+    """(y, x, v): one image (y, x, v), rescaled to 0..1, with its contrast equalised tile by tile (see the kernel)."""
+    from fluxgrid.operators import movie
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        px = np.zeros((t["y"].max() + 1, t["x"].max() + 1))
+        px[t["y"], t["x"]] = t["v"].fillna(0.0)
+        return pd.DataFrame({"y": t["y"], "x": t["x"], "v": K.equalize(px, tiles, clip)[t["y"], t["x"]]})
+
+    one = movie.min_max(image).withColumn("_one", F.lit(0))  # one image
+    return one.groupBy("_one").applyInPandas(run, "y int, x int, v double")
+
+
+def contours(rois: DataFrame) -> DataFrame:
+    """(roi_id, k, y, x): the border of each region in the order of a walk around it."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = t["y"].min(), t["x"].min()
+        mask = np.zeros((t["y"].max() - y0 + 1, t["x"].max() - x0 + 1), bool)
+        mask[t["y"] - y0, t["x"] - x0] = True
+        walk = K.contour(mask)
+        return pd.DataFrame({"roi_id": t["roi_id"].iloc[0], "k": np.arange(len(walk)), "y": walk[:, 0] + y0, "x": walk[:, 1] + x0}).astype("int32")
+
+    return rois.select("roi_id", "y", "x").groupBy("roi_id").applyInPandas(run, "roi_id int, k int, y int, x int")
+
+
 def component_regions(components: DataFrame, **limits) -> DataFrame:
     """(roi_set, roi_id, y, x) from component images (comp, h, w, px), ordered by the centroids' squared distance from the corner."""
     schema = "comp int, k int, y int, x int"

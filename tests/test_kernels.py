@@ -202,3 +202,49 @@ def test_processed_regions_in_micrometres(spark):
     got = roi.process_scaled(rois, t, 2.0, (1, 40, 1, 40), 1.5, distance=2.5).toPandas()
     sizes = sorted(len(g) for _, g in got.groupby("roi_id"))
     assert sizes == [16, 36 + 25]  # the inner copy and the region at the border are gone, two near similar ones are one
+
+
+def test_contours_walk_around(spark):
+    square = np.zeros((6, 7), bool)
+    square[1:5, 2:6] = True
+    walk = K.contour(square)
+    assert len(walk) == 12 and {tuple(p) for p in walk} == {(y, x) for y in range(1, 5) for x in range(2, 6) if y in (1, 4) or x in (2, 5)}
+    assert np.abs(np.diff(np.vstack([walk, walk[:1]]), axis=0)).max() == 1
+    line = np.zeros((3, 5), bool)
+    line[1, 1:4] = True
+    assert [tuple(p) for p in K.contour(line)] == [(1, 1), (1, 2), (1, 3), (1, 2)]
+    assert len(K.contour(np.zeros((2, 2), bool))) == 0 and len(K.contour(np.ones((1, 1), bool))) == 1
+    yy, xx = np.mgrid[:20, :20]
+    disk = (yy - 9) ** 2 + (xx - 10) ** 2 <= 49
+    rows = [(0, 5, int(y), int(x)) for y, x in zip(*np.nonzero(disk))]
+    got = O.contours(spark.createDataFrame(rows, "roi_set int, roi_id int, y int, x int")).orderBy("k").toPandas()
+    steps = np.diff(got[["y", "x"]].to_numpy(), axis=0)
+    assert np.abs(steps).max() == 1 and set(got["roi_id"]) == {5}
+    angle = np.unwrap(np.arctan2(got["y"] - 9, got["x"] - 10))
+    assert abs(abs(angle[-1] - angle[0]) - 2 * np.pi) < 0.4  # once around
+
+
+def test_equalised_contrast(spark):
+    rng = np.random.default_rng(0)
+    image = 0.4 + 0.02 * rng.random((32, 32))
+    out = K.equalize(image, 4, 40.0)
+    assert out.min() >= 0 and out.max() <= 1 and out.std() > 5 * image.std()
+    flat = K.equalize(image, 1, 1.0)  # a histogram cut at its mean is nearly even: the mapping is nearly the identity
+    assert np.abs(flat - image).max() < 0.2
+    df = spark.createDataFrame([(y, x, float(v)) for (y, x), v in np.ndenumerate(image)], "y int, x int, v double")
+    assert O.equalized(df, 4, 40.0).count() == 1024
+
+
+def test_pixels_as_samples(spark):
+    stack, _ = cells()
+    comps, mean = O.pca(frames_of(spark, stack), 2, samples="pixels")
+    x = stack.reshape(len(stack), -1)
+    x = x - x.mean(1, keepdims=True)
+    g = x.T @ x / len(x)
+    assert np.allclose(np.abs((comps * np.linalg.eigh(g - 0)[1][:, ::-1][:, :2].T).sum(1)), 1, atol=1e-6) and not mean.any()
+
+
+def test_decimated_baseline():
+    y, c, s = D.simulate(traces=1, n=1200, b=2.0)
+    fine, coarse = D.constrained(y[0], (0.95,), 0.3), D.constrained(y[0], (0.95,), 0.3, decimate=4)
+    assert abs(coarse.b - fine.b) < 0.15 and np.corrcoef(fine.c, coarse.c)[0, 1] > 0.98

@@ -103,6 +103,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_online_gives_up_a_missing_sample(spark, tmp_path):
+    rows = [("a", i, float(10 + i % 7)) for i in range(60) if i not in (3, 20)]
+    for k, part in enumerate((rows[:30], rows[30:])):
+        spark.createDataFrame(part, "roi string, i long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("roi string, i long, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = online.online_dff(stream, 4, lateness=12).writeStream.outputMode("append").format("memory").queryName("gaps").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["i"]: r["f0"] for r in spark.table("gaps").collect()}
+    v = {i: x for _, i, x in rows}
+    assert set(got) == set(v)
+    assert all(got[i] == min(v[j] for j in range(i - 3, i + 1) if j in v) for i in v if i >= 3)
+    with pytest.raises(ValueError):
+        online.online_dff(stream, 4, lateness=1)
+
+
 def test_chunk_stream(spark, tmp_path):
     df = spark.createDataFrame([("a", f"2024-01-01 00:00:{s:02d}", float(s)) for s in range(30)], "roi string, t string, v double").withColumn("t", F.to_timestamp("t"))
     df.write.parquet(str(tmp_path / "in"))
