@@ -184,16 +184,15 @@ def magic_wand(image: np.ndarray, cy: int, cx: int, r_min: int, r_max: int, roug
     ys, xs = np.rint(np.outer(radii, np.cos(angles)) + cy).astype(int), np.rint(np.outer(radii, np.sin(angles)) + cx).astype(int)
     ok = (ys >= 0) & (ys < image.shape[0]) & (xs >= 0) & (xs < image.shape[1])
     polar = np.where(ok, image[np.clip(ys, 0, image.shape[0] - 1), np.clip(xs, 0, image.shape[1] - 1)], 0.0)
-    ahead = np.zeros((3, *polar.shape))
-    for k, move in enumerate((1, 0, -1)):
-        rows = np.arange(len(radii)) + move
-        good = (rows >= 0) & (rows < len(radii))
-        ahead[k, good, :-1] = polar[rows[good]][:, 1:]
-    value, turn = polar + ahead.max(0), np.array([1, 0, -1])[ahead.argmax(0)]
-    edge = np.zeros(n, int)
-    edge[0] = len(radii) - 1 - int(value[::-1, 0].argmax())
+    # the edge path: from the outermost of the brightest first steps, each angle goes to the brightest of the three radii within
+    # one of the last (nothing is darker than beyond the range; of equals the outer one), kept within the range
+    rim = np.pad(polar, ((1, 1), (0, 1)))
+    near = np.lib.stride_tricks.sliding_window_view(rim, 3, axis=0)  # [radius, angle]: the radii within one
+    first = polar[:, 0] + near[:, 1].max(1)
+    edge = np.full(n, np.flatnonzero(first == first.max())[-1])
     for k in range(1, n):
-        edge[k] = np.clip(edge[k - 1] + turn[edge[k - 1], k - 1], 0, len(radii) - 1)
+        outward = near[edge[k - 1], k][::-1]
+        edge[k] = min(max(edge[k - 1] + 1 - int(outward.argmax()), 0), len(radii) - 1)
     yy, xx = np.mgrid[: image.shape[0], : image.shape[1]]
     dist, angle = np.hypot(yy - cy, xx - cx), np.arctan2(xx - cx, yy - cy) % (2 * np.pi)
     return dist <= radii[edge[np.rint(angle / (2 * np.pi) * (n - 1)).astype(int)]]
