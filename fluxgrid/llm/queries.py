@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxgrid.llm import langid, licences, mixing, neardup, packing, quality, records, secrets, substrings, topk
+from fluxgrid.llm import langid, licences, mixing, neardup, oracle, packing, quality, records, secrets, substrings, topk
 
 QUERIES = {
     f.__name__: f
@@ -19,4 +19,4 @@ QUERIES = {
         topk.op10_pivot_topk,
     )
 }
-ORACLE_SQL = {**licences.ORACLE_SQL}
+ORACLE_SQL = {**licences.ORACLE_SQL, **oracle.ORACLE_SQL}

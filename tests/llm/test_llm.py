@@ -827,5 +827,16 @@ def test_components(spark):
     assert {r["node"]: r["root"] for r in got} == {a: find(a) for a in parent}
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got, want = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
+    cols = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(cols)
+    assert sorted(map(str, (tuple(r) for r in got.select(cols).collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_all_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
