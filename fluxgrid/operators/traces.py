@@ -35,20 +35,17 @@ def compute_dff(df: DataFrame, window: int, filter_size: int | None = None, step
     """
     if window < 1 or step < 1:
         raise ValueError("window and step must be positive")
-    base = df.select("roi", "i", "v")
-    padded = W.mirrored(base, window)
+    padded, of = W.mirrored(df.select("roi", "i", "v"), window), "v"
     if filter_size and filter_size > 1:
-        odd = filter_size + (filter_size % 2 == 0)
-        padded = W.median_filter(padded, odd, first=-(window - 1), block=block)
-    elif step == 1:  # the unfiltered window ends at the sample itself: nothing is joined back
-        low = W.halo(padded, window - 1, 0, block).withColumn("f0", F.min("v").over(W.frame(window - 1, 0)))
-        return _relative(W.own(low, block).where("i >= 0").select("roi", "i", "v", "f0"), root_f)
-    low = W.halo(padded, window - 1, 0, block).withColumn("f0", F.min("v").over(W.frame(window - 1, 0)))
-    low = W.own(low, block).where("i >= 0").select("roi", "i", "f0")
+        odd, of = filter_size + (filter_size % 2 == 0), "m"
+        padded = W.median_filter(padded, odd, first=-(window - 1), block=block, into=of)
+    # the sample itself is carried beside its filtered value: nothing is joined back
+    low = W.halo(padded, window - 1, 0, block).withColumn("f0", F.min(of).over(W.frame(window - 1, 0)))
+    low = W.own(low, block).where("i >= 0").select("roi", "i", "v", "f0")
     if step > 1:
         held = low.where(F.col("i") % step == 0).select("roi", (F.col("i") / step).cast("long").alias("g"), "f0")
-        low = low.select("roi", "i", F.floor(F.col("i") / step).alias("g")).join(held, ["roi", "g"]).drop("g")
-    return _relative(base.join(low, ["roi", "i"]), root_f)
+        low = low.select("roi", "i", "v", F.floor(F.col("i") / step).alias("g")).join(held, ["roi", "g"]).select("roi", "i", "v", "f0")
+    return _relative(low, root_f)
 
 
 def _relative(out: DataFrame, root_f: bool) -> DataFrame:

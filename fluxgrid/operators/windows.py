@@ -93,13 +93,13 @@ def edge_repeated(df: DataFrame, first: int, half: int) -> DataFrame:
     return df.unionByName(left).unionByName(right)
 
 
-def median_filter(df: DataFrame, size: int, first: int = 0, block: int = BLOCK) -> DataFrame:
-    """Centred running median of odd size; edges mirrored with the edge sample repeated."""
+def median_filter(df: DataFrame, size: int, first: int = 0, block: int = BLOCK, into: str = "v") -> DataFrame:
+    """Centred running median of odd size, in column `into`; edges mirrored with the edge sample repeated."""
     half = size // 2
     padded = edge_repeated(df.select("roi", "i", "v"), first, half)
     spec = frame(half, half)  # only a mirrored end lacks neighbours, so full windows are the trace's own samples
     out = halo(padded, half, half, block).withColumn("k", F.count("*").over(spec))
-    out = own(out.withColumn("v", median("v", size, spec)), block)
+    out = own(out.withColumn(into, median("v", size, spec)), block)
     return out.where((F.col("i") >= first) & (F.col("k") == size)).drop("k")
 
 
