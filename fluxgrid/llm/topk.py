@@ -7,8 +7,8 @@ so q.x = (|q|^2 + |x|^2 - d^2) / 2 has an upper bound. Candidates are evaluated
 in order of that bound, until it falls below the k-th best score: exact.
 
 Scale: the queries, packed in chunks, go to every block of candidates (the
-query set against all rows, in blocks); a block of candidates moves once, and
-the chunks stream past it one at a time. Each meeting returns at most k rows a
+query set against all rows, in blocks); a block of candidates moves once (a few
+times where there are fewer blocks than cores), and the chunks stream past it one at a time. Each meeting returns at most k rows a
 query, and merging keeps k a query before and after the shuffle. Pivots are
 chosen farthest-first from a bounded hash sample (at most ``SAMPLE`` vectors).
 Rows are dealt to blocks by their place in the written table, so rows that
@@ -197,9 +197,12 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, p
                 cells = [[r["block"]], [r["block"]], *([c.tobytes()] for c in (ids[a], a, x[a], tab[a]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, schema.types)], schema=schema)
 
-    # a block of candidates goes to one task and leads it; the chunks of queries go to every block and stream past
+    # a block of candidates leads its task (several, where there are few blocks); the chunks of queries go to every block and stream past
+    parts = max(1, -(-2 * spark.sparkContext.defaultParallelism // n_blocks))
+    tasks = n_blocks * parts * (3 if n_blocks * parts < 1000 else 1)  # few keys: so that seldom two share a task
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>"))
-    queries = blocks.mapInArrow(ask, block).withColumn("block", every)
+    queries = blocks.mapInArrow(ask, block).withColumn("block", every).withColumn("part", F.pmod(F.xxhash64("ids", "q"), F.lit(parts)))
+    lead = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = None
@@ -218,7 +221,7 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, p
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND.types)], schema=_FOUND)
 
-    found = blocks.unionByName(queries).repartition(n_blocks, "block").sortWithinPartitions("block", "q_block").mapInArrow(meet, FOUND)
+    found = lead.unionByName(queries).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "q_block").mapInArrow(meet, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_row", "query_id").orderBy(F.desc("over"), F.desc("score"), "vec_id"))
     fits = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("long"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score"))
