@@ -333,6 +333,18 @@ def equalized(image: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
     return one.groupBy("_one").applyInPandas(run, "y int, x int, v double")
 
 
+def circularities(rois: DataFrame) -> DataFrame:
+    """(roi_id, perimeter, circularity) of each region: 4 pi area / perimeter^2."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        y, x = t["y"] - t["y"].min(), t["x"] - t["x"].min()
+        mask = np.zeros((y.max() + 1, x.max() + 1), bool)
+        mask[y, x] = True
+        return pd.DataFrame({"roi_id": t["roi_id"][:1], "perimeter": K.perimeter(mask), "circularity": K.circularity(mask)})
+
+    return rois.select("roi_id", "y", "x").groupBy("roi_id").applyInPandas(run, "roi_id int, perimeter double, circularity double")
+
+
 def contours(rois: DataFrame) -> DataFrame:
     """(roi_id, k, y, x): the border of each region in the order of a walk around it."""
 

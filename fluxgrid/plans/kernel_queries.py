@@ -418,6 +418,27 @@ def _(spark, sf):
     return longs(roi.areas(r).join(roi.centroids(r), "roi_id"), "roi_id")
 
 
+RECTANGLES = "SELECT n AS roi_id, 3 + n % 5 AS y0, 2 + n % 3 AS x0, 5 + n % 4 AS h, 6 + n % 7 AS w FROM range(40) g(n)"
+
+
+def rectangles(spark: SparkSession) -> DataFrame:
+    """Forty filled rectangles."""
+    r = spark.range(40).selectExpr("CAST(id AS INT) AS roi_id", "3 + id % 5 AS y0", "2 + id % 3 AS x0", "5 + id % 4 AS h", "6 + id % 7 AS w")
+    r = r.select("roi_id", F.explode(F.expr("sequence(CAST(y0 AS INT), CAST(y0 + h - 1 AS INT))")).alias("y"), "x0", "w")
+    return r.select("roi_id", "y", F.explode(F.expr("sequence(CAST(x0 AS INT), CAST(x0 + w - 1 AS INT))")).alias("x"))
+
+
+@query("roi_circularity", f"SELECT roi_id, CAST(2 * (h + w) - 4 AS DOUBLE) AS perimeter, round(4 * pi() * h * w / pow(2 * (h + w) - 4, 2), 6) + 0.0 AS circularity FROM ({RECTANGLES})")
+def _(spark, sf):
+    return rounded(longs(kernels.circularities(rectangles(spark)), "roi_id"), "circularity")
+
+
+@query("roi_contour", f"""WITH r AS ({RECTANGLES}) SELECT roi_id, k, CASE WHEN k < w THEN y0 WHEN k < w + h - 1 THEN y0 + k - w + 1 WHEN k < 2 * w + h - 2 THEN y0 + h - 1 ELSE y0 + h - 1 - (k - 2 * w - h + 3) END AS y,
+CASE WHEN k < w THEN x0 + k WHEN k < w + h - 1 THEN x0 + w - 1 WHEN k < 2 * w + h - 2 THEN x0 + w - 1 - (k - w - h + 2) ELSE x0 END AS x FROM r, range(40) g(k) WHERE k < 2 * (h + w) - 4""")
+def _(spark, sf):
+    return longs(kernels.contours(rectangles(spark)), "roi_id", "k", "y", "x")
+
+
 @query("deconvolve_ar1", "SELECT roi, count(*) AS n, CAST(1 AS INT) AS feasible, CAST(1 AS INT) AS meets_noise FROM s GROUP BY 1", "s=trace_events")
 def _(spark, sf):
     t = X.trace_events(spark, sf)
