@@ -290,17 +290,23 @@ def _near_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     t = pa.Table.from_batches(list(batches))
     cls, root, n, cut = (t[c].to_numpy() for c in ("class", "root", "n", "cut"))
-    points = np.stack(t["point"].to_pylist()).astype(np.int64)
-    before = [frozenset(x) for x in t["before"].to_pylist()]
+    points = t["point"].combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+    lists, sets = t["before"].combine_chunks(), {}
+
+    def before(k: int) -> frozenset:
+        if k not in sets:
+            sets[k] = frozenset(lists[k].as_py())
+        return sets[k]
+
     here = np.flatnonzero(cut == t["i"][0].as_py())
     there = here if t["i"][0].as_py() == t["j"][0].as_py() else np.flatnonzero(cut == t["j"][0].as_py())
     if not len(here) or not len(there):
         return
     tree, found, held = Tree(points[there], n[there]), [], 0
-    for i in here:
+    for i in here.tolist():
         at = there[tree.query(points[i], n[i])[0]]
         at = at[(root[at] != root[i]) & ((cls[at] < cls[i]) | (there is not here))]
-        at = at[[before[i].isdisjoint(before[j]) for j in at]] if len(at) else at
+        at = at[[before(i).isdisjoint(before(j)) for j in at.tolist()]] if len(at) else at
         found.append(np.stack([np.minimum(cls[at], cls[i]), np.maximum(cls[at], cls[i])]))
         held += len(at)
         if held >= 1 << 16:
